@@ -15,16 +15,25 @@ from pyspark.sql import functions as F
 from locusmill.session import ship
 
 #: Bytes of text that a Python worker holds as words at a time; longer texts are held alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Entries of a worker's word cache; it is emptied when full, which changes no result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 U64 = np.uint64
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows that go to a Python worker at a time: texts may be long.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +54,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        ready(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +68,21 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Columns that tell rows apart, equal ones too.
+ROW_ID = ("row_file_", "row_index_")
+
+
+def with_row_ids(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df with ROW_ID, from the files that it is read from; what isn't read from Parquet files is written first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df.select("_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        df = scratch.keep(df, "rows")
+    return df.select(*df.columns, F.xxhash64("_metadata.file_path").alias(ROW_ID[0]), F.col("_metadata.row_index").alias(ROW_ID[1]))
+
+
 def text_key(column: str = "text"):
     """16 bytes that identify a text (null: empty)."""
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit(""))))

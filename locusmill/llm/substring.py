@@ -174,7 +174,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, fi
         else:
             texts = left.join(known, "tkey").select("tkey", "text", "hs")
         if length == window:
-            cut = scratch.keep(texts.mapInArrow(cut_texts(window), "tkey binary, n_removed long, sha string, kept string").dropDuplicates(["tkey"]), "cut")
+            cut = scratch.keep(texts.mapInArrow(cut_texts(window), "tkey binary, n_removed long, sha string, kept string"), "cut")
             break
         found = texts.mapInArrow(next_level(length, steps[k + 1], window), "tkey binary, text string, hs array<long>")
         hs = scratch.keep(found, f"left-{steps[k + 1]}")
@@ -188,7 +188,8 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, see remove_repeats."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows, cut = repeated_windows(docs, scratch, window)
-    out = rows.join(cut.select("tkey", "n_removed", F.col("sha").alias("cut_sha")), "tkey", "left")
+    part = cut.select(F.col("tkey").alias("k_"), "n_removed", F.col("sha").alias("cut_sha"))
+    out = rows.join(part, (F.col("tkey") == F.col("k_")) & (F.col("copies") == 1), "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     sha = F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha", "sha"))
     gone = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
