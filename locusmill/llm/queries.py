@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusmill.llm import mixing, packing, substring
+from locusmill.llm import minhash, mixing, packing, quality, substring
 from locusmill.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -21,13 +25,19 @@ def op8_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_compression_quality": op6_compression_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_weighted_fair_mixing": op8_weighted_fair_mixing,
+    "op9_probminhash": op9_probminhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
