@@ -62,6 +62,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in read)
     sizes = docs.select(*read, "text").mapInArrow(word_counts, f"{kind}, size long")
     sizes = sizes.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sizes = scratch.keep(sizes, "counted")  # range-sorting reads its input twice
     order = [F.col("turn"), F.col("size"), F.col("doc_id")]
     queued = scratch.keep(running_total(scratch, sizes, "sizes", order, "size", group="source"), "queued")
     targets = scratch.keep(source_targets(queued, weights, epochs), "targets")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,29 +15,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import CACHE_WORDS, Scratch, running_total, slices
+from locusmill.llm.common import Scratch, running_total, slices
 
 CAPACITY, END_ID = 4096, 1
+#: Words whose ids a worker remembers; forgetting changes no result.
+CACHE_WORDS = 600_000
 #: Steps that a search for one filling may take, and decisions that the whole search may revise.
 FILL_STEPS, SEARCH_STEPS = 3000, 200
 
 
-class WordIds(dict):
-    """Little-endian ids of the words between white space, remembered up to CACHE_WORDS.
+#: Words of one piece whatever comes before: precomposed Latin letters whose lower case is one letter. ASCII marks
+#: after such a word are one more piece (but for the apostrophe, which may begin an ending).
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    The tokenizer never joins across white space, so a text's ids are its words' ids in a row.
+
+class WordIds:
+    """Little-endian ids of the words between white space, remembered in two generations of CACHE_WORDS / 2.
+
+    The tokenizer never joins across white space, so a text's ids are its words' ids in a row. New words of plain
+    letters go to it many at a time, in lower case, and are told apart by its ends of words; marks at a word's end go
+    by themselves, and all other words one by one.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = np.array(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_plain(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), (4 * ends).tolist()
+                self.plain.update(zip(part, (data[i:j] for i, j in zip([0, *at], at, strict=False)), strict=True))
+            else:
+                self.plain.update((w, self.one(w)) for w in part)
+
+    def prepare(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A mapping that holds all of words."""
+        if len(self.now) >= CACHE_WORDS // 2:
+            self.now, self.old = {}, self.now
+        if len(self.plain) >= CACHE_WORDS // 2:
+            self.plain = {}
+        if len(self.marks) >= 10_000:
+            self.marks = {"": b""}
+        now, old, new = self.now, self.old, []
+        for w in words:
+            if w not in now:
+                if (v := old.get(w)) is not None:
+                    now[w] = v
+                else:
+                    new.append(w)
+        split, plain = [], set()
+        for w in new:
+            word = w.decode("utf-8", "replace")
+            base = word.rstrip(MARKS)
+            if LETTERS.fullmatch(base):
+                lower = base.lower()
+                split.append((w, lower, word[len(base) :]))
+                plain.add(lower)
+            else:
+                now[w] = self.one(word)
+        self.encode_plain([w for w in plain if w not in self.plain])
+        for w, lower, tail in split:
+            if tail not in self.marks:
+                self.marks[tail] = self.one(tail)
+            now[w] = self.plain[lower] + self.marks[tail]
+        return now
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -64,8 +124,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
             doc_ids = batch.column(0).to_pylist()
             for lo, _, texts in slices(batch):
                 cols: list[list] = [[], [], [], [], [], []]
-                for i, t in enumerate(texts):
-                    data = b"".join(map(known.__getitem__, t.split())) + end
+                words = [t.split() for t in texts]
+                ids = known.prepare(set().union(*words))
+                for i, own in enumerate(words):
+                    data = b"".join(map(ids.__getitem__, own)) + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         for c, v in zip(cols, (doc_ids[lo + i], k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
@@ -238,6 +300,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """
     scratch = Scratch(docs.sparkSession, "pack")
     pieces = cut_pieces(docs, tokenizer, capacity, end_id).withColumn("one", F.lit(1).cast("long"))
+    pieces = scratch.keep(pieces, "cut")  # range-sorting reads its input twice
     ranked = running_total(scratch, pieces, "pieces", [F.xxhash64("doc_id"), F.col("piece"), F.col("ids_crc32")], "one", group="length", out="rank")
     ranked = ranked.drop("one")
     counts = dict(map(tuple, docs.sparkSession.read.parquet(f"{scratch.base}/pieces").groupBy("length").count().collect()))  # at most `capacity` rows
