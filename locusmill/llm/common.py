@@ -138,23 +138,28 @@ def lists(values: np.ndarray, lengths: list[int], kind=pa.int64()) -> pa.Array:
 def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of links (a, b): rows (node, label), the label being the component's smallest node.
 
-    Labels go along links and then to the label's own label, until none changes; each round is a written table.
+    In each round every node goes to the smallest of itself and its neighbours, and the links are drawn anew between
+    the nodes so reached, until none is left; a node's label is where the rounds' steps lead. Links inside what has
+    become one node vanish, so the first round is the only one that sees all of them. Rounds are written tables.
     """
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a")))
-    both = scratch.keep(both.where("x <> y").distinct(), f"{name}-links")
-    now = scratch.keep(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), f"{name}-0")
-    k = 0
-    while True:
+    now = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-links0")
+    steps, k = None, 0
+    while now.limit(1).count():
+        ends = now.select(F.col("a").alias("node"), F.col("a").alias("to")).union(now.select("b", "a"))
+        step = scratch.keep(ends.groupBy("node").agg(F.min("to").alias("to")), f"{name}-step{k}")
+        left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         k += 1
-        heard = both.join(now.select(F.col("node").alias("y"), F.col("label").alias("l")), "y").groupBy(F.col("x").alias("node")).agg(F.min("l").alias("l"))
-        new = now.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "l").alias("l"))
-        up = now.select(F.col("node").alias("l"), F.col("label").alias("ll"))
-        new = scratch.keep(new.join(up, "l", "left").select("node", "was", F.least("l", "ll").alias("label")), f"{name}-{k}")
-        changed = new.where("label <> was").limit(1).count()
-        scratch.drop(f"{name}-{k - 1}")
-        now = new.select("node", "label")
-        if not changed:
-            return now
+        now = now.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        now = scratch.keep(now, f"{name}-links{k}")
+        if steps is None:
+            steps = step
+        else:
+            further = step.select(F.col("node").alias("to"), F.col("to").alias("then"))
+            steps = steps.join(further, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+    if steps is None:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return scratch.keep(steps.select("node", F.col("to").alias("label")), f"{name}-labels")
 
 
 def running_total(scratch: Scratch, df: DataFrame, name: str, order: list, value: str, group: str | None = None, out: str = "cum") -> DataFrame:

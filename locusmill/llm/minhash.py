@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from locusmill.llm.common import U64, Scratch, components, hashes, lists, mix, slices, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: 32 bands of 4 registers: at similarity 0.8 a pair is missed with probability 5e-8.
-BANDS, ROWS = 32, 4
+#: 32 bands of 6 registers: at similarity 0.8 a pair is missed with probability 6e-5, at 0.85 with 6e-8; at 0.4 it is
+#: a candidate with probability 0.1.
+BANDS, ROWS = 32, 6
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
