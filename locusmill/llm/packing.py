@@ -38,27 +38,29 @@ class WordIds:
     by themselves, and all other words one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spaced: bool = False):
+        """spaced: the tokenizer is byte-level, keeps case and marks words by the space before them, not by their ends."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.tok, self.spaced = Tokenizer.from_file(path), spaced
+        self.tok.encode_special_tokens = spaced
+        self.edge = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+            self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
         self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
-    def one(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def one(self, word: str, tail: bool = False) -> bytes:
+        return np.array(self.tok.encode(" " * (self.spaced and not tail) + word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_plain(self, words: list[str]) -> None:
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.tok.encode_batch_fast([" " * self.spaced + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(self.edge[ids])[1:], len(ids)) if self.spaced else np.flatnonzero(self.edge[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 data, at = ids.tobytes(), (4 * ends).tolist()
                 self.plain.update(zip(part, (data[i:j] for i, j in zip([0, *at], at, strict=False)), strict=True))
@@ -69,23 +71,21 @@ class WordIds:
         """A mapping that holds all of words."""
         if len(self.now) >= CACHE_WORDS // 2:
             self.now, self.old = {}, self.now
-        if len(self.plain) >= CACHE_WORDS // 2:
+        if len(self.plain) >= CACHE_WORDS:
             self.plain = {}
         if len(self.marks) >= 10_000:
             self.marks = {"": b""}
-        now, old, new = self.now, self.old, []
-        for w in words:
-            if w not in now:
-                if (v := old.get(w)) is not None:
-                    now[w] = v
-                else:
-                    new.append(w)
+        now, old = self.now, self.old
+        new = words.difference(now)
+        known = new.intersection(old)
+        now.update(zip(known, map(old.__getitem__, known)))
+        new -= known
         split, plain = [], set()
         for w in new:
             word = w.decode("utf-8", "replace")
             base = word.rstrip(MARKS)
             if LETTERS.fullmatch(base):
-                lower = base.lower()
+                lower = base if self.spaced else base.lower()
                 split.append((w, lower, word[len(base) :]))
                 plain.add(lower)
             else:
@@ -93,18 +93,18 @@ class WordIds:
         self.encode_plain([w for w in plain if w not in self.plain])
         for w, lower, tail in split:
             if tail not in self.marks:
-                self.marks[tail] = self.one(tail)
+                self.marks[tail] = self.one(tail, True)
             now[w] = self.plain[lower] + self.marks[tail]
         return now
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+def word_ids(path: str, spaced: bool = False) -> WordIds:
+    if (path, spaced) not in _WORDS:
+        _WORDS[path, spaced] = WordIds(path, spaced)
+    return _WORDS[path, spaced]
 
 
 def default_tokenizer() -> str:
@@ -122,7 +122,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
         known = word_ids(path)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for lo, _, texts in slices(batch):
+            for lo, _, texts in slices(batch, most=4 << 20):
                 cols: list[list] = [[], [], [], [], [], []]
                 words = [t.split() for t in texts]
                 ids = known.prepare(set().union(*words))
