@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusmill.llm import chat, embeddings, media, minhash, mixing, packing, quality, scoring, substring
+from locusmill.llm import chat, embeddings, media, minhash, mixing, packing, quality, scoring, substring, wrappers
 from locusmill.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,10 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pstable_vectors": op1_pstable_vectors,
     "op2_ogg_media": op2_ogg_media,
+    "op3_wrapper_text": op3_wrapper_text,
     "op4_attention_scores": op4_attention_scores,
     "op5_chat_windows": op5_chat_windows,
     "op6_compression_quality": op6_compression_quality,
