@@ -16,6 +16,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: at similarity 0.8 a pair is missed with probability 6e-5, at 0.85 with 6e-8; at 0.4 it is
 #: a candidate with probability 0.1.
 BANDS, ROWS = 32, 6
+#: Nodes of a family that meet at a time.
+BLOCK = 512
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -142,46 +144,115 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     return both.select("a", "b", "ta", "tb").mapInPandas(verified(k, threshold), "a long, b long")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id (smallest doc_id reachable by links), n_texts, kept.
+def resolved(k: int, threshold: float, registers: int):
+    """Rows of a pair of blocks of a family, sorted by it, to links (a, b) that join what had different labels.
+
+    All pairs across labels are looked at: those whose registers agree too seldom for the threshold (by 4.5 standard
+    deviations) are left, the others are held against each other exactly, likeliest first, unless links found before
+    have already joined their components.
+    """
+    least = registers * threshold - 4.5 * np.sqrt(registers * threshold * (1 - threshold))
+    names = ["family", "i", "j", "own", "node", "label", "text"]
+
+    def links(held: dict[str, list]) -> list[tuple[int, int]]:
+        node, label, own = held["node"], np.array(held["label"]), np.array(held["own"])
+        sets = [shingles(hashes((t or "").encode().split()), k) for t in held["text"]]
+        sig = np.concatenate([signatures(sets[x : x + 256], registers) for x in range(0, len(sets), 256)]).astype(np.uint8)
+        one = held["i"][0] == held["j"][0]
+        left = np.arange(len(node)) if one else np.flatnonzero(own == held["i"][0])
+        right = left if one else np.flatnonzero(own == held["j"][0])
+        found = []
+        for x in range(0, len(left), 32):
+            rows = left[x : x + 32]
+            same = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(axis=2)
+            p, q = np.nonzero((same >= least) & (label[rows][:, None] != label[right][None, :]))
+            keep = rows[p] < right[q] if one else np.ones(len(p), bool)
+            found.append((same[p, q][keep], rows[p][keep], right[q][keep]))
+        count, p, q = (np.concatenate(c) for c in zip(*found, strict=True))
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        out = []
+        for at in np.argsort(-count, kind="stable").tolist():
+            x, y = int(p[at]), int(q[at])
+            u, v = find(int(label[x])), find(int(label[y]))
+            if u != v and similarity(sets[x], sets[y]) >= threshold - 1e-9:
+                root[max(u, v)] = min(u, v)
+                out.append((node[x], node[y]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {n: [] for n in names}
+        last = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            got = links(held) if len(held["node"]) > 1 else []
+            if got:
+                a, b = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for v in held.values():
+                v.clear()
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != last:
+                    yield from done()
+                    last = row[:3]
+                for n, v in zip(names, row, strict=True):
+                    held[n].append(v)
+        yield from done()
+
+    return run
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, class_id (smallest doc_id reachable by links), kept.
 
     Two documents are linked if their texts are equal or the probability Jaccard similarity of their shingles of k
     words, weighted by their counts, is at least `threshold`. Equal texts are one node, the smallest doc_id among
-    them. First every node is held against the smallest node of each of its buckets; then, in buckets whose nodes
-    aren't all connected yet, nodes of different components are held against each other, until a bucket holds no
-    pair of components that has not been looked at. So no link between components is lost, and the many pairs inside
-    a large group need not be made. Null and empty texts have no shingles, link with nothing and are classes of
-    their own. Rows that share a doc_id are one document; rows without one have no class (null) and are kept.
+    them. First every node is held against the smallest node of each of its buckets. Nodes that these pairs connect,
+    linked or not, are a family, and all candidates lie in one. Where a family's links leave several components, its
+    nodes meet in pairs of blocks of at most `block` nodes, where what isn't joined yet is compared (see resolved). So
+    no link between components is lost, and no pairs leave a task but the few that join something.
+
+    Null and empty texts have no shingles, link with nothing and are classes of their own. Rows that share a doc_id
+    are one document; rows without one have no class (null) and are kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     src = docs.select(text_key().alias("tkey"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.keep(src.mapInArrow(banded(k, bands, rows), "tkey binary, doc_id long, keys array<long>"), "signatures")
-    nodes = sig.where("size(`keys`) > 0 and doc_id is not null").groupBy("tkey").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    nodes = sig.where("size(`keys`) > 0 and doc_id is not null").groupBy("tkey").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     nodes = scratch.keep(nodes, "nodes")
     each = nodes.select("node", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
-    shared = scratch.keep(shared, "shared")
-    members = scratch.keep(each.join(shared, "key"), "members")
-    pairs = scratch.keep(members.where("a < node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    shared = scratch.keep(each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a"), "shared")
+    pairs = scratch.keep(each.join(shared, "key").where("a < node").select("a", F.col("node").alias("b")).distinct(), "pairs")
     at = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     first = nodes.select("tkey", "node").join(at, "node").withColumnRenamed("tkey", "k_")
     texts = src.join(first, (F.col("tkey") == F.col("k_")) & (F.col("doc_id") == F.col("node"))).select("node", "text")
     texts = scratch.keep(texts.dropDuplicates(["node"]), "texts")
     links = scratch.keep(linked(pairs, texts, k, threshold), "links")
-    #: Rows that share a doc_id are one document though their texts, and so their nodes, may differ.
-    same = sig.where("doc_id is not null").join(nodes.select("tkey", "node"), "tkey").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    label = components(scratch, links.union(same), "round1")
-    open_ = members.where("n > 2").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.keep(open_.join(scratch.keep(mixed, "mixed"), "key"), "open")
-    left, right = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "key").where("la <> lb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "rest")
-    more = scratch.keep(linked(rest, texts, k, threshold), "more")
-    label = components(scratch, links.union(same).union(more), "round2")
+    # Rows that share a doc_id are one document though their texts, and so their nodes, may differ.
+    same = sig.where("doc_id is not null").join(nodes.select("tkey", "node"), "tkey").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    other = same.join(sig.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("tkey").alias("n")).where("n > 1").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b").distinct()
+    links = links.union(other)
+    label = components(scratch, links, "round1")
+    family = components(scratch, pairs, "families").withColumnRenamed("label", "family")
+    member = scratch.keep(family.join(label, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")), "member")
+    mixed = member.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2")
+    mixed = scratch.keep(mixed.select("family", F.ceil(F.col("n") / block).cast("int").alias("parts")), "mixed")
+    dealt = member.join(mixed, "family").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label").join(texts, "node")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").select("family", "i", "j", "own", "node", "label", "text")
+    more = scratch.keep(dealt.mapInArrow(resolved(k, threshold, bands * rows), "a long, b long"), "more")
+    label = components(scratch, links.union(more), "round2")
     named = sig.select("tkey", "doc_id").join(nodes.select("tkey", "node"), "tkey", "left").join(label, "node", "left")
-    #: Rows that share a doc_id may have different nodes; all of these are in one component.
     out = named.select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
