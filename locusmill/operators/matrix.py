@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("rid")
+def row():
+    return Window.partitionBy("rid")
+
 
 
 def score_matrix(alignments: DataFrame) -> DataFrame:
@@ -15,7 +17,7 @@ def score_matrix(alignments: DataFrame) -> DataFrame:
     """
     least = alignments.agg(F.min("sc")).scalar()
     cells = alignments.groupBy("rid", "fid").agg(F.max(F.col("sc") + F.col("len")).alias("top"))
-    hit = F.max(F.when(F.col("fid") > 0, 1).otherwise(0)).over(ROW)
+    hit = F.max(F.when(F.col("fid") > 0, 1).otherwise(0)).over(row())
     return cells.withColumn("hit", hit).where("hit = 1").select("rid", "fid", (F.col("top") - least + 1).cast("long").alias("raw"))
 
 
@@ -26,19 +28,19 @@ def total(m: DataFrame, value: str, how=F.sum) -> Column:
 
 def norm(m: DataFrame, axis: int | None = None, value: str = "raw") -> DataFrame:
     """Values over their total (axis None) or over their row's sum (axis 1); rows that sum to 0 stay 0."""
-    whole = total(m, value) if axis is None else F.sum(value).over(ROW)
+    whole = total(m, value) if axis is None else F.sum(value).over(row())
     return m.select("rid", "fid", F.coalesce(F.try_divide(F.col(value).cast("double"), whole.cast("double")), F.lit(0.0)).alias("value"))
 
 
 def scale(m: DataFrame, axis: int | None = None, value: str = "raw") -> DataFrame:
     """Values over the largest of all (axis None) or of their row (axis 1)."""
-    most = total(m, value, F.max) if axis is None else F.max(value).over(ROW)
+    most = total(m, value, F.max) if axis is None else F.max(value).over(row())
     return m.select("rid", "fid", F.coalesce(F.try_divide(F.col(value).cast("double"), most.cast("double")), F.lit(0.0)).alias("value"))
 
 
 def binmax(m: DataFrame, axis: int | None = None, value: str = "raw") -> DataFrame:
     """Cells that hold the largest value of all or of their row, all ties, as 1."""
-    most = total(m, value, F.max) if axis is None else F.max(value).over(ROW)
+    most = total(m, value, F.max) if axis is None else F.max(value).over(row())
     return m.where(F.col(value) != 0).withColumn("most", most).where(F.col(value) == F.col("most")).select("rid", "fid", F.lit(1).alias("value"))
 
 
@@ -69,7 +71,7 @@ def exclude_rows(m: DataFrame, rows: DataFrame) -> DataFrame:
 
 def choose_random(m: DataFrame, seed: int) -> DataFrame:
     """One cell of each row, evenly by a hash of seed, row and column."""
-    w = ROW.orderBy(F.xxhash64(F.lit(seed), "rid", "fid"), "fid")
+    w = row().orderBy(F.xxhash64(F.lit(seed), "rid", "fid"), "fid")
     return m.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

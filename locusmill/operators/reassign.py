@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 MODES = ("best_exclude", "best_random", "best_average", "best_conf", "initial_unique", "initial_random", "total_hits")
 #: Older names of the modes.
 ALIASES = {"exclude": "best_exclude", "choose": "best_random", "average": "best_average", "conf": "best_conf", "unique": "initial_unique"}
-ROW = Window.partitionBy("rid")
+def row():
+    return Window.partitionBy("rid")
+
 #: Decimals to which posteriors are compared for ties.
 TIE_DIGITS = 10
 
@@ -16,8 +18,8 @@ TIE_DIGITS = 10
 def best(z: DataFrame, value: str, digits: int | None) -> DataFrame:
     """Cells that hold their row's largest value, all ties, with their number nbest."""
     v = F.round(value, digits) if digits is not None else F.col(value)
-    top = z.where(F.col(value) > 0).withColumn("v_", v).withColumn("m_", F.max("v_").over(ROW)).where("v_ = m_")
-    return top.withColumn("nbest", F.count(F.lit(1)).over(ROW)).drop("v_", "m_")
+    top = z.where(F.col(value) > 0).withColumn("v_", v).withColumn("m_", F.max("v_").over(row())).where("v_ = m_")
+    return top.withColumn("nbest", F.count(F.lit(1)).over(row())).drop("v_", "m_")
 
 
 def reassign(cells: DataFrame, mode: str, threshold: float = 0.9, seed: int = 0) -> DataFrame:
@@ -30,20 +32,20 @@ def reassign(cells: DataFrame, mode: str, threshold: float = 0.9, seed: int = 0)
     if mode == "total_hits":
         return cells.where("raw > 0").select("rid", "fid", F.lit(1.0).alias("w"))
     if mode == "initial_unique":
-        one = cells.where("raw > 0").withColumn("nnz", F.count(F.lit(1)).over(ROW))
+        one = cells.where("raw > 0").withColumn("nnz", F.count(F.lit(1)).over(row()))
         return one.where("nnz = 1").select("rid", "fid", F.lit(1.0).alias("w"))
     top = best(cells, "raw", None) if mode == "initial_random" else best(cells, "z", TIE_DIGITS)
     if mode == "best_exclude":
         return top.where("nbest = 1").select("rid", "fid", F.lit(1.0).alias("w"))
     if mode == "best_average":
         return top.select("rid", "fid", (F.lit(1.0) / F.col("nbest")).alias("w"))
-    pick = F.row_number().over(ROW.orderBy(F.xxhash64(F.lit(seed), "rid", "fid"), "fid"))
+    pick = F.row_number().over(row().orderBy(F.xxhash64(F.lit(seed), "rid", "fid"), "fid"))
     return top.withColumn("rn", pick).where("rn = 1").select("rid", "fid", F.lit(1.0).alias("w"))
 
 
 def initial_best(cells: DataFrame) -> DataFrame:
     """initial_random with ties resolved by the smallest feature."""
-    pick = F.row_number().over(ROW.orderBy("fid"))
+    pick = F.row_number().over(row().orderBy("fid"))
     return best(cells, "raw", None).withColumn("rn", pick).where("rn = 1").select("rid", "fid", F.lit(1.0).alias("w"))
 
 
