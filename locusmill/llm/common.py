@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusmill import scratch
 from locusmill.session import ship
 
 #: Bytes of text that a Python worker holds as words at a time; longer texts are held alone.
@@ -37,35 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; on a local master without one, a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not getattr(sc, "_locusmill_scratch", None):
-        sc._locusmill_scratch = f"file://{tempfile.mkdtemp(prefix='locusmill-scratch-')}"
-    return sc._locusmill_scratch
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+class Scratch(scratch.Scratch):
+    """Written tables of an operator, with the batch size that its Python workers need."""
 
     def __init__(self, spark: SparkSession, name: str):
         ready(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        super().__init__(spark, name)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that isn't among columns."""
+    low = {c.lower() for c in columns}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 #: Columns that tell rows apart, equal ones too.

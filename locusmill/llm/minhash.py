@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import U64, Scratch, components, hashes, lists, mix, slices, text_key
+from locusmill.llm.common import U64, Scratch, components, fresh, hashes, lists, mix, slices, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: at similarity 0.8 a pair is missed with probability 6e-5, at 0.85 with 6e-8; at 0.4 it is
@@ -260,5 +260,6 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents whose class has a smaller doc_id; see near_classes."""
     classes = near_classes(docs, threshold)
-    gone = classes.where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")
+    gone = fresh(docs.columns, "gone_")
+    others = classes.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import operator
 import os
 import re
 import zlib
@@ -26,8 +27,9 @@ FILL_STEPS, SEARCH_STEPS = 3000, 200
 
 #: Words of one piece whatever comes before: precomposed Latin letters whose lower case is one letter. ASCII marks
 #: after such a word are one more piece (but for the apostrophe, which may begin an ending).
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD = re.compile(f"^(?:([{LETTERS}]+)([{re.escape(MARKS)}]*)|(.+))$", re.M)
 
 
 class WordIds:
@@ -41,10 +43,14 @@ class WordIds:
     def __init__(self, path: str, spaced: bool = False):
         """spaced: the tokenizer is byte-level, keeps case and marks words by the space before them, not by their ends."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.spaced = Tokenizer.from_file(path), spaced
         self.tok.encode_special_tokens = spaced
+        self.lean = Tokenizer.from_file(path)
+        if not spaced:  # plain words in lower case need no normaliser, and white space is the only boundary in them
+            self.lean.normalizer = None
+            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.edge = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
@@ -59,7 +65,7 @@ class WordIds:
     def encode_plain(self, words: list[str]) -> None:
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" " * self.spaced + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.lean.encode_batch_fast([" " * self.spaced + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(self.edge[ids])[1:], len(ids)) if self.spaced else np.flatnonzero(self.edge[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 data, at = ids.tobytes(), (4 * ends).tolist()
@@ -79,22 +85,20 @@ class WordIds:
         new = words.difference(now)
         known = new.intersection(old)
         now.update(zip(known, map(old.__getitem__, known)))
-        new -= known
-        split, plain = [], set()
-        for w in new:
-            word = w.decode("utf-8", "replace")
-            base = word.rstrip(MARKS)
-            if LETTERS.fullmatch(base):
-                lower = base if self.spaced else base.lower()
-                split.append((w, lower, word[len(base) :]))
-                plain.add(lower)
-            else:
-                now[w] = self.one(word)
-        self.encode_plain([w for w in plain if w not in self.plain])
-        for w, lower, tail in split:
-            if tail not in self.marks:
+        new = list(new - known)
+        if not new:
+            return now
+        parts = WORD.findall(b"\n".join(new).decode("utf-8", "replace"))
+        bases, tails, odd = zip(*parts, strict=True)
+        if any(odd):
+            now.update((w, self.one(o)) for w, o in zip(new, odd, strict=True) if o)
+            new, bases, tails = zip(*((w, b, t) for w, b, t, o in zip(new, bases, tails, odd, strict=True) if not o), strict=True) if not all(odd) else ((), (), ())
+        if new:
+            lower = bases if self.spaced else "\n".join(bases).lower().split("\n")
+            self.encode_plain(list(set(lower).difference(self.plain)))
+            for tail in set(tails).difference(self.marks):
                 self.marks[tail] = self.one(tail, True)
-            now[w] = self.plain[lower] + self.marks[tail]
+            now.update(zip(new, map(operator.add, map(self.plain.__getitem__, lower), map(self.marks.__getitem__, tails)), strict=True))
         return now
 
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import ready, slices
+from locusmill.llm.common import fresh, ready, slices
 
 #: The bounded sample that is fitted: documents of each label for the dictionaries, documents of any label for the
 #: calibration, and bytes of either. Scoring has no bound.
@@ -123,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> QualityModel
     return fit(sample(docs, labels, held_out))
 
 
-def scored(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs with score, from the whole text (null: empty)."""
+def scored(docs: DataFrame, model: QualityModel, keep: list[str], score: str) -> DataFrame:
+    """Columns `keep` of docs with their score, from the whole text (null: empty)."""
     spark = docs.sparkSession
     ready(spark)
     sent = spark.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
@@ -136,9 +136,9 @@ def scored(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
         for batch in batches:
             for lo, hi, texts in slices(batch):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, len(keep) + 1)), pa.array(m.score(texts, c))], names=[*keep, "score_"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, len(keep) + 1)), pa.array(m.score(texts, c))], names=[*keep, score])
 
-    return docs.select("text", *[F.col(c).alias(f"{c}_kept") for c in keep]).mapInArrow(run, f"{kind}, score_ double")
+    return docs.select("text", *[F.col(c).alias(f"{c}_kept") for c in keep]).mapInArrow(run, f"{kind}, `{score}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
@@ -147,12 +147,13 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = 0, threshold: f
     Without labels of both kinds the score says little but is defined (0.5 without any). Empty and null texts get the
     score of the empty text, equal texts equal scores.
     """
-    out = scored(docs, train(docs, labels, held_out), ["doc_id"])
+    out = scored(docs, train(docs, labels, held_out), ["doc_id"], "score_")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == held_out
     return out.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the classifier rejects; all columns stay."""
-    out = scored(docs, train(docs, labels, held_out), docs.columns)
-    return out.where(F.col("score_") >= threshold).select(*docs.columns)
+    score = fresh(docs.columns, "score_")
+    out = scored(docs, train(docs, labels, held_out), docs.columns, score)
+    return out.where(F.col(score) >= threshold).select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import U64, Scratch, hashes, lists, mix, slices, text_key
+from locusmill.llm.common import U64, Scratch, fresh, hashes, lists, mix, slices, text_key
 
 #: Words of a window, and of the windows that the first level counts.
 WINDOW, FIRST = 35, 8
@@ -209,8 +209,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = rows.where((F.col("copies") > 1) & (F.col("n_words") >= window)).select(F.col("tkey").alias("k_"), F.lit("").alias("kept_")).dropDuplicates(["k_"])
     part = cut.join(whole, F.col("tkey") == F.col("k_"), "left_anti").select(F.col("tkey").alias("k_"), F.col("kept").alias("kept_"))
     changed = scratch.keep(part.unionByName(whole), "changed")
-    out = docs.withColumn("tkey_", text_key()).join(changed, F.col("tkey_") == F.col("k_"), "left")
-    out = out.withColumn("text", F.coalesce("kept_", "text"))
+    key, other, kept = (fresh(docs.columns, n) for n in ("tkey_", "other_", "kept_"))
+    changed = changed.withColumnsRenamed({"k_": other, "kept_": kept})
+    out = docs.withColumn(key, text_key()).join(changed, F.col(key) == F.col(other), "left")
+    out = out.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_").isNull(), F.col("n_chars")).otherwise(F.length("kept_")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -337,7 +337,8 @@ def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     hosts.append(last)
                     wrappers.append(json.dumps(wrapper))
                 last, wrapper = h, json.loads(w)
-        yield pd.DataFrame({"host": hosts, "wrapper": wrappers})
+        if hosts:
+            yield pd.DataFrame({"host": hosts, "wrapper": wrappers})
     if last is not None:
         yield pd.DataFrame({"host": [last], "wrapper": [json.dumps(wrapper)]})
 
