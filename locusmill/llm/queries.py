@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusmill.llm import chat, embeddings, media, minhash, mixing, packing, quality, scoring, substring, wrappers
+from locusmill.llm import chat, embeddings, media, minhash, mixing, oracles, packing, quality, scoring, substring, wrappers
 from locusmill.llm.common import table
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def op1_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -68,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_pstable_vectors": oracles.VECTORS, "op8_weighted_fair_mixing": oracles.MIXING, "op10_substring_dedup": oracles.REPEATS}
