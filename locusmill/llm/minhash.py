@@ -162,6 +162,8 @@ def resolved(k: int, threshold: float, registers: int):
         left = np.arange(len(node)) if one else np.flatnonzero(own == held["i"][0])
         right = left if one else np.flatnonzero(own == held["j"][0])
         found = []
+        if not len(left) or not len(right):
+            return []
         for x in range(0, len(left), 32):
             rows = left[x : x + 32]
             same = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(axis=2)

@@ -7,7 +7,7 @@ import operator
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,11 +54,16 @@ class WordIds:
         self.edge = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
+        #: What stands before a word's ids, if anything; changing it empties the memory.
+        self.head: Callable[[bytes], bytes] | None = None
         self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
+    def headed(self, head: Callable[[bytes], bytes] | None) -> None:
+        self.head, self.now, self.old = head, {}, {}
+
     def one(self, word: str, tail: bool = False) -> bytes:
         return np.array(self.tok.encode(" " * (self.spaced and not tail) + word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -91,14 +96,15 @@ class WordIds:
         parts = WORD.findall(b"\n".join(new).decode("utf-8", "replace"))
         bases, tails, odd = zip(*parts, strict=True)
         if any(odd):
-            now.update((w, self.one(o)) for w, o in zip(new, odd, strict=True) if o)
+            now.update((w, (self.head(w) if self.head else b"") + self.one(o)) for w, o in zip(new, odd, strict=True) if o)
             new, bases, tails = zip(*((w, b, t) for w, b, t, o in zip(new, bases, tails, odd, strict=True) if not o), strict=True) if not all(odd) else ((), (), ())
         if new:
             lower = bases if self.spaced else "\n".join(bases).lower().split("\n")
             self.encode_plain(list(set(lower).difference(self.plain)))
             for tail in set(tails).difference(self.marks):
                 self.marks[tail] = self.one(tail, True)
-            now.update(zip(new, map(operator.add, map(self.plain.__getitem__, lower), map(self.marks.__getitem__, tails)), strict=True))
+            ids = map(operator.add, map(self.plain.__getitem__, lower), map(self.marks.__getitem__, tails))
+            now.update(zip(new, map(operator.add, map(self.head, new), ids) if self.head else ids, strict=True))
         return now
 
 
