@@ -367,7 +367,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     wrappers = scratch.keep(infer_wrappers(pages), "wrappers")
 
     def ruled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
+        for df in filter(len, batches):
             yield pd.DataFrame({"host_": df["host"], "rule": [json.dumps(rules(json.loads(w))) for w in df["wrapper"]]})
 
     found = scratch.keep(wrappers.mapInPandas(ruled, "host_ string, rule string"), "rules")
@@ -376,7 +376,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, dict] = {}
-        for df in batches:
+        for df in filter(len, batches):
             out = []
             for rule, source in zip(df["rule"], df["html"], strict=True):
                 if rule is not None and rule not in cache:
