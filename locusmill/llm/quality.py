@@ -24,21 +24,26 @@ THRESHOLD = 0.3
 class Compressors:
     good: zstandard.ZstdCompressor
     bad: zstandard.ZstdCompressor
+    plain: zstandard.ZstdCompressor
 
     @classmethod
     def of(cls, good: bytes, bad: bytes) -> Compressors:
-        return cls(*(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in (good, bad)))
+        return cls(*(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in (good, bad, b"")))
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """The normalised difference of the compressed sizes, with the logarithm of the better ratio to tell how far
-        it can be relied on (text that repeats itself compresses well with either dictionary), and their products."""
+    def sizes(self, texts: list[bytes]) -> np.ndarray:
+        """The normalised difference of the compressed sizes, and the logarithm of the ratio without a dictionary, which
+        tells how far the difference can be relied on: text that repeats itself compresses well with either."""
         rows = np.empty((len(texts), 2))
         for i, t in enumerate(texts):
             g, b = len(self.good.compress(t)), len(self.bad.compress(t))
-            rows[i] = (g - b) / max(g, b), np.log(min(g, b) / (len(t) + 20.0))
-        d, r = rows[:, 0], rows[:, 1]
-        hinge = [np.maximum(r - k, 0) for k in (-2.5, -2.0, -1.5, -1.0)]
-        return np.stack([np.ones(len(d)), d, np.abs(d), d * d, r, r * r, d * r, *hinge], axis=1)
+            rows[i] = (g - b) / max(g, b), np.log(len(self.plain.compress(t)) / (len(t) + 20.0))
+        return rows
+
+
+def expand(sizes: np.ndarray) -> np.ndarray:
+    d, r = sizes[:, 0], sizes[:, 1]
+    hinge = [np.maximum(r - k, 0) for k in (-2.5, -2.0, -1.5, -1.0)]
+    return np.stack([np.ones(len(d)), d, np.maximum(d, 0), d * r, r, r * r, *hinge], axis=1)
 
 
 @dataclass
@@ -46,10 +51,14 @@ class QualityModel:
     good: bytes
     bad: bytes
     weights: np.ndarray
+    #: Least and largest sizes in the calibration, to which those of a text are drawn.
+    low: np.ndarray
+    high: np.ndarray
 
     def score(self, texts: list[bytes], compressors: Compressors | None = None) -> np.ndarray:
         c = compressors or Compressors.of(self.good, self.bad)
-        return 1 / (1 + np.exp(-np.clip(c.features(texts) @ self.weights, -30, 30)))
+        x = expand(np.clip(c.sizes(texts), self.low, self.high))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -114,9 +123,9 @@ def fit(rows: list[tuple[int, int, bytes]]) -> QualityModel:
     good, bad = (dictionary([t for use, y, t in rows if use == 0 and y == q]) for q in (1, 0))
     c = Compressors.of(good, bad)
     rest = [(y, t) for use, y, t in rows if use == 1]
-    if not rest:
-        return QualityModel(good, bad, np.zeros(c.features([b""]).shape[1]))
-    return QualityModel(good, bad, logistic(c.features([t for _, t in rest]), np.array([y for y, _ in rest], dtype=float)))
+    x = c.sizes([t for _, t in rest] or [b""])
+    weights = logistic(expand(x), np.array([y for y, _ in rest], dtype=float)) if rest else np.zeros(expand(x).shape[1])
+    return QualityModel(good, bad, weights, x.min(axis=0), x.max(axis=0))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> QualityModel:
