@@ -55,12 +55,13 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le:
     return pairs.drop("bin", "first_l", "first_r")
 
 
-def block_overlaps(blocks: DataFrame, intervals: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+def block_overlaps(blocks: DataFrame, intervals: DataFrame, by: list[str], keys: list[str], wider: int = 1) -> DataFrame:
     """Overlap of each alignment (columns `by`) with each locus, summed over its blocks and the locus' intervals.
 
-    A block (b_start, b_end) asks for [b_start, b_end + 1), one base more than it covers: bookended intervals count as touched.
+    A block (b_start, b_end) asks for [b_start, b_end + wider), by default one base more than it covers, so bookended
+    intervals count as touched; wider 0 gives the plain step lengths.
     """
-    asked = blocks.withColumn("q_end", F.col("b_end") + 1)
+    asked = blocks.withColumn("q_end", F.col("b_end") + wider)
     pairs = range_join(asked, intervals, keys, "b_start", "q_end", "iv_start", "iv_end")
     length = F.least("iv_end", "q_end") - F.greatest("iv_start", "b_start")
     return pairs.groupBy(*by, "locus").agg(F.sum(length).alias("overlap"))
@@ -96,3 +97,22 @@ def windows(refs: DataFrame, size: int, overlap: int) -> DataFrame:
     """Fixed windows over references (ref, length), widened by `overlap` on both sides."""
     at = refs.where("length > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))))
     return at.select("ref", F.greatest(F.lit(0), F.col("i") - overlap).cast("long").alias("w_start"), F.least(F.col("i") + size + overlap, F.col("length")).cast("long").alias("w_end"))
+
+
+def point_lookup(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, pos) with the locus, smallest name first, of an interval that holds them; null outside of all."""
+    asked = points.select(*keys, "pos").distinct().withColumn("p_end", F.col("pos") + 1)
+    hit = range_join(asked, intervals, keys, "pos", "p_end", "iv_start", "iv_end")
+    found = hit.groupBy(*keys, "pos").agg(F.min_by(F.struct("locus", "iv_start", "iv_end"), "locus").alias("h"))
+    return points.join(found, [*keys, "pos"], "left").withColumns({"locus": F.col("h.locus"), "iv_start": F.col("h.iv_start"), "iv_end": F.col("h.iv_end")}).drop("h")
+
+
+def two_end_lookup(spans: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (keys, b_start, b_end) with the locus at their two ends; where these differ, that which reaches further in.
+
+    Intervals that lie wholly inside a span are not looked for; on a tie the left one stays.
+    """
+    left = point_lookup(spans.withColumn("pos", F.col("b_start")), intervals, keys).drop("pos", "iv_start").withColumnsRenamed({"locus": "l_locus", "iv_end": "l_end"})
+    both = point_lookup(left.withColumn("pos", F.col("b_end") - 1), intervals, keys).drop("pos", "iv_end").withColumnsRenamed({"locus": "r_locus", "iv_start": "r_start"})
+    right = F.col("r_locus").isNotNull() & (F.col("l_locus").isNull() | (F.col("b_end") - F.col("r_start") > F.col("l_end") - F.col("b_start")))
+    return both.withColumn("locus", F.when(F.col("l_locus").eqNullSafe(F.col("r_locus")), F.col("l_locus")).when(right, F.col("r_locus")).otherwise(F.col("l_locus"))).drop("l_locus", "l_end", "r_locus", "r_start")

@@ -183,6 +183,34 @@ def block_overlap_stranded(spark: SparkSession, d: str) -> DataFrame:
     return intervals.block_overlaps(st.blocks(spark, d), merge_exons_stranded(spark, d), [*ALIGNMENT, "strand"], ["chrom", "strand"])
 
 
+@query(sql("SELECT * FROM ovl", islands(LOCUS), overlap_sql(False).replace("b.b_end + 1", "b.b_end")))
+def step_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.block_overlaps(st.blocks(spark, d), merge_exons(spark, d), ALIGNMENT, ["chrom"], 0)
+
+
+def stabbed(column: str) -> str:
+    return f"(SELECT MIN((i.locus, i.iv_start, i.iv_end)) FROM islands i WHERE i.chrom = b.chrom AND {column} >= i.iv_start AND {column} < i.iv_end)"
+
+
+@query(sql(f"SELECT rid, ln, chrom, b_start AS pos, {stabbed('b.b_start')}[1] AS locus FROM st_blocks b", islands(LOCUS)))
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    points = st.blocks(spark, d).select(*ALIGNMENT, F.col("b_start").alias("pos"))
+    return intervals.point_lookup(points, merge_exons(spark, d), ["chrom"]).select(*ALIGNMENT, "pos", "locus")
+
+
+@query(
+    sql(
+        """SELECT rid, ln, chrom, b_start, b_end, CASE WHEN r[1] IS NOT NULL AND (l[1] IS NULL OR (l[1] <> r[1] AND b_end - r[2] > l[3] - b_start)) THEN r[1] ELSE l[1] END AS locus
+  FROM (SELECT rid, ln, chrom, b_start, b_end, """
+        + f"{stabbed('b.b_start')} l, {stabbed('b.b_end - 1')} r FROM st_blocks b WHERE b_end > b_start)",
+        islands(LOCUS),
+    )
+)
+def two_end_lookup(spark: SparkSession, d: str) -> DataFrame:
+    spans = st.blocks(spark, d).where("b_end > b_start").select(*ALIGNMENT, "b_start", "b_end")
+    return intervals.two_end_lookup(spans, merge_exons(spark, d), ["chrom"]).select(*ALIGNMENT, "b_start", "b_end", "locus")
+
+
 MERGED_BLOCKS = [
     "block_rows AS (SELECT rid, ln, chrom, b_start iv_start, b_end iv_end FROM st_blocks)",
     islands("rid, ln, chrom", "block_rows").replace("islands AS", "mb AS", 1),
