@@ -73,8 +73,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     each = each.where((F.col("size") > 0) & (F.col("start") < F.col("target")))
     each = each.select("doc_id", "source", "turn", "size", "pass", ((F.col("start") + F.col("size")) / F.col("target")).alias("finish"), F.col("cum").alias("place"))
     merged = running_total(scratch, each, "merged", [F.col("finish"), F.col("source").asc_nulls_last(), F.col("place"), F.col("pass")], "size", out="sent")
-    budget = targets.agg(F.sum("source_size").alias("budget"))
-    taken = merged.crossJoin(F.broadcast(budget)).where(F.col("sent") <= F.col("budget"))  # one row
+    budget = targets.agg(F.sum("source_size")).scalar()
+    taken = merged.withColumn("budget", budget).where(F.col("sent") <= F.col("budget"))
     taken = taken.groupBy(F.col("source").alias("s_"), F.col("place").alias("p_")).agg(F.sum("size").alias("taken"))
     out = queued.join(taken, F.col("source").eqNullSafe(F.col("s_")) & (F.col("cum") == F.col("p_")) & (F.col("size") > 0), "left")
     return out.select(*read, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
