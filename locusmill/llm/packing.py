@@ -47,10 +47,12 @@ class WordIds:
 
         self.tok, self.spaced = Tokenizer.from_file(path), spaced
         self.tok.encode_special_tokens = spaced
-        self.lean = Tokenizer.from_file(path)
-        if not spaced:  # plain words in lower case need no normaliser, and white space is the only boundary in them
+        self.lean = self.tok
+        if not spaced:
+            self.lean = Tokenizer.from_file(path)  # plain words in lower case need no normaliser, and white space is the only boundary in them
             self.lean.normalizer = None
             self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.most = CACHE_WORDS // 2 if spaced else CACHE_WORDS
         self.edge = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
@@ -80,9 +82,9 @@ class WordIds:
 
     def prepare(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A mapping that holds all of words."""
-        if len(self.now) >= CACHE_WORDS // 2:
+        if len(self.now) >= self.most // 2:
             self.now, self.old = {}, self.now
-        if len(self.plain) >= CACHE_WORDS:
+        if len(self.plain) >= self.most:
             self.plain = {}
         if len(self.marks) >= 10_000:
             self.marks = {"": b""}
