@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import gc
 import operator
 import os
 import re
@@ -52,7 +53,6 @@ class WordIds:
             self.lean = Tokenizer.from_file(path)  # plain words in lower case need no normaliser, and white space is the only boundary in them
             self.lean.normalizer = None
             self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.most = CACHE_WORDS // 2 if spaced else CACHE_WORDS
         self.edge = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
@@ -82,9 +82,9 @@ class WordIds:
 
     def prepare(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A mapping that holds all of words."""
-        if len(self.now) >= self.most // 2:
+        if len(self.now) >= CACHE_WORDS // 2:
             self.now, self.old = {}, self.now
-        if len(self.plain) >= self.most:
+        if len(self.plain) >= CACHE_WORDS:
             self.plain = {}
         if len(self.marks) >= 10_000:
             self.marks = {"": b""}
@@ -95,8 +95,9 @@ class WordIds:
         new = list(new - known)
         if not new:
             return now
-        parts = WORD.findall(b"\n".join(new).decode("utf-8", "replace"))
-        bases, tails, odd = zip(*parts, strict=True)
+        gc.disable()  # tuples of texts only: nothing to collect, however many
+        bases, tails, odd = zip(*WORD.findall(b"\n".join(new).decode("utf-8", "replace")), strict=True)
+        gc.enable()
         if any(odd):
             now.update((w, (self.head(w) if self.head else b"") + self.one(o)) for w, o in zip(new, odd, strict=True) if o)
             new, bases, tails = zip(*((w, b, t) for w, b, t, o in zip(new, bases, tails, odd, strict=True) if not o), strict=True) if not all(odd) else ((), (), ())

@@ -286,6 +286,20 @@ def test_windows_score_each_token_once(lengths):
     assert (w.inputs[:, 1:] == w.targets[:, :-1]).all()
 
 
+def test_fast_scores_are_the_model():
+    p = attention.initial(30)
+    rng = np.random.default_rng(4)
+    for k in ("wo", "w2", "bias"):
+        p[k] = (rng.standard_normal(p[k].shape) * 0.5).astype(np.float32)
+    classes, within = np.arange(30) % attention.CLASSES, rng.standard_normal(30).astype(np.float32)
+    w = attention.windows(rng.integers(0, 29, 170), np.array([150, 20]), 29)
+    e = attention.class_probs(p, attention.hidden(p, w.inputs))
+    e /= e.sum(axis=1, keepdims=True)
+    y = w.targets.ravel()
+    want = (np.log(e[np.arange(len(y)), classes[y]]) + within[y])[w.scored.ravel()]
+    assert attention.log_scores(p, w, classes, within, 3) == pytest.approx(want, abs=1e-4)
+
+
 def test_causal_and_normalised():
     p = attention.initial(30)
     rng = np.random.default_rng(2)
