@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +32,8 @@ HEADER_WORDS = frozenset("header banner masthead".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-#: Items of a child list above which a wrapper says only that anything may stand there.
-MOST_ITEMS = 400
+#: Items of two child lists above which a wrapper gives up their order, not what it knows of them; above FEW they are aligned by rows.
+MOST_ORDERED, FEW_ITEMS = 4096, 60
 #: Pages after which text that never changes counts as the host's own.
 CONSTANT_PAGES = 10
 
@@ -146,6 +147,9 @@ def parse(source: str) -> Node:
     return root
 
 
+#: Key of a group whose items stand in any order.
+ANY = "(...)"
+
 # Wrappers. An item is a dictionary: k its key ("#" for a text slot, "(...)" for a group), q its quantifier (1, "?",
 # "+" or "*"), n the pages it was seen on, c the items inside; for a slot h the hash of its text while that is the same
 # on all pages (else None), t and l the characters of text and of links in it.
@@ -175,30 +179,63 @@ def merge(a: dict, b: dict, same_page: bool = False) -> dict:
 def align(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]:
     """Two child lists as one: a longest common subsequence is merged, what stands alone becomes optional."""
     ka, kb = [x["k"] for x in a], [x["k"] for x in b]
+    if ANY in ka or ANY in kb:
+        return [unordered(a, b, same_page)]
     if ka == kb:
         return [merge(x, y, same_page) for x, y in zip(a, b, strict=True)]
-    if ka == ["..."] or kb == ["..."] or len(ka) + len(kb) > MOST_ITEMS:
-        return [anything([*a, *b])]
-    best = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
-    for i in range(len(ka) - 1, -1, -1):
-        for j in range(len(kb) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    if len(ka) + len(kb) > MOST_ORDERED:
+        return [unordered(a, b, same_page)]
+    first = preferred(ka, kb)
     out, i, j = [], 0, 0
     while i < len(ka) or j < len(kb):
         if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
             out.append(merge(a[i], b[j], same_page))
             i, j = i + 1, j + 1
-        elif j == len(kb) or (i < len(ka) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(a[i] | {"q": loosest(a[i]["q"], "?")})
+        elif j == len(kb) or (i < len(ka) and first[i][j]):
+            out.append(a[i] if a[i]["q"] in "?*" else a[i] | {"q": loosest(a[i]["q"], "?")})
             i += 1
         else:
-            out.append(b[j] | {"q": loosest(b[j]["q"], "?")})
+            out.append(b[j] if b[j]["q"] in "?*" else b[j] | {"q": loosest(b[j]["q"], "?")})
             j += 1
     return fold(out)
 
 
-def anything(items: list[dict]) -> dict:
-    return {"k": "...", "q": "*", "n": max((x["n"] for x in items), default=0), "a": False, "c": []}
+def preferred(ka: list[str], kb: list[str]):
+    """By places (i, j) in two lists, whether a longest common subsequence of what follows may leave out ka[i] first."""
+    if len(ka) + len(kb) <= FEW_ITEMS:
+        best = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
+        for i in range(len(ka) - 1, -1, -1):
+            for j in range(len(kb) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+        return [[x >= y for x, y in zip(below, own[1:], strict=False)] for own, below in zip(best, best[1:], strict=False)]
+    number = {k: n for n, k in enumerate(dict.fromkeys([*ka, *kb]))}
+    a, b = (np.array([number[k] for k in keys], np.int32) for keys in (ka, kb))
+    out = np.empty((len(a), len(b)), bool)
+    below = np.zeros(len(b) + 1, np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        own = below.copy()
+        own[:-1] = np.maximum(below[:-1], below[1:] + (b == a[i]))
+        own = np.maximum.accumulate(own[::-1])[::-1]
+        out[i] = below[:-1] >= own[1:]
+        below = own
+    return out
+
+
+def unordered(a: list[dict], b: list[dict], same_page: bool = False) -> dict:
+    """A group that repeats, with one item for each key of two child lists: all that is known but the order."""
+
+    def by_key(items: list[dict], out: dict[str, dict]) -> dict[str, dict]:
+        for x in items:
+            if x["k"].startswith("("):
+                by_key(x["c"], out)
+            else:
+                out[x["k"]] = merge(out[x["k"]], x, True) if x["k"] in out else x
+        return out
+
+    left, right = by_key(a, {}), by_key(b, {})
+    both = {k: merge(x, right[k], same_page) if k in right else x for k, x in left.items()} | {k: x for k, x in right.items() if k not in left}
+    out = [x | {"q": "*"} for x in both.values()]
+    return {"k": ANY, "q": "*", "n": max((x["n"] for x in out), default=0), "a": False, "c": out}
 
 
 def fold(items: list[dict]) -> list[dict]:

@@ -112,6 +112,43 @@ def test_wrapper_inference():
     assert group[0]["c"][0]["k"] == "(dt dd)" and group[0]["c"][0]["q"] == "+"
 
 
+def mixed_pages(n, blocks, rng):
+    """Pages with an article of mixed blocks in an unmarked block beside a menu that stays and teasers that change."""
+    out = []
+    for i in range(n):
+        story = [rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<pre>{}</pre>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(f"text {i} {k}") for k in range(blocks)]
+        out.append((story, f'<body><div class="top"><p>Menu</p>Site name</div><div class="story">{"".join(story)}</div><div class="teasers"><p>Teaser {i}</p></div></body>'))
+    return out
+
+
+@pytest.mark.parametrize(("pages", "blocks", "ordered"), [(12, 250, None), (300, 30, None), (12, 250, 100)])
+def test_long_mixed_lists(monkeypatch, pages, blocks, ordered):
+    """A long child list keeps its text statistics, whether its order is kept or not."""
+    if ordered:
+        monkeypatch.setattr(wrappers, "MOST_ORDERED", ordered)
+    made = mixed_pages(pages, blocks, random.Random(8))
+    w = None
+    for _, source in made:
+        own = wrappers.fold([wrappers.item(c) for c in wrappers.parse(source).children])
+        w = wrappers.align(w, own) if w else own
+    rule = wrappers.rules(w)
+    assert rule["root"] == "/body/div.story"
+    assert rule["constant"] == ["/body/div.top/#"]
+    for story, source in made:
+        assert wrappers.extract(wrappers.parse(source), rule).split("\n\n") == [wrappers.re.sub("<[^>]*>", "", x) for x in story]
+
+
+def test_alignments_agree(monkeypatch):
+    """Rows of numbers give the alignment that the plain recurrence gives."""
+    rng = random.Random(5)
+    for n in (1, 7, 40):
+        ka, kb = (rng.choices("abcd", k=rng.randrange(1, n + 1)) for _ in range(2))
+        monkeypatch.setattr(wrappers, "FEW_ITEMS", 1000)
+        plain = wrappers.preferred(ka, kb)
+        monkeypatch.setattr(wrappers, "FEW_ITEMS", 0)
+        assert wrappers.preferred(ka, kb).tolist() == plain
+
+
 # Chats
 
 
