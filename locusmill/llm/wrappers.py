@@ -408,8 +408,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"host_": df["host"], "rule": [json.dumps(rules(json.loads(w))) for w in df["wrapper"]]})
 
     found = scratch.keep(wrappers.mapInPandas(ruled, "host_ string, rule string"), "rules")
-    own = F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit("")))
-    joined = pages.select("page_id", "url", "html", own.alias("h_")).join(found, F.col("h_") == F.col("host_"), "left")
+    own = F.pandas_udf(lambda urls: urls.map(host), "string")  # wrappers are known by this function's hosts
+    joined = pages.select("page_id", "url", "html", own("url").alias("h_")).join(found, F.col("h_") == F.col("host_"), "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, dict] = {}

@@ -91,6 +91,16 @@ def test_pages(spark, opened, closed):
         assert got[n].text == WANT.format(n=n) and got[n].n_chars == len(got[n].text)
 
 
+@pytest.mark.parametrize("url", ["http://a_b.example/{}", "https://münchen.example/{}", "http://H.example/a b|{{{}}}", "http://u@h.example:80/50%{}"])
+def test_odd_hosts(spark, url):
+    """Pages meet their host's wrapper whatever else is odd in the URL; pages without a host don't give theirs away."""
+    made = mixed_pages(12, 5, random.Random(9))
+    rows = [(i, url.format(i), source) for i, (_, source) in enumerate(made)] + [(100 + i, None, source.replace("story", "tale")) for i, (_, source) in enumerate(made)]
+    got = {r.page_id: r.text.split("\n\n") for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (story, _) in enumerate(made):
+        assert got[i] == got[100 + i] == [wrappers.re.sub("<[^>]*>", "", x) for x in story]
+
+
 def test_odd_pages(spark):
     rows = [(0, None, None), (1, "::", ""), (2, "http://a/", "no markup, 1 < 2 &am"), (3, "http://a/", "<article><p>cut <b>off"), (4, "http://a/", "<article><p>x</p><!-- open"), (5, "http://[", "<p>" * 300 + "deep"), (5, "http://[", "<p>" * 300 + "deep")]
     got = sorted((r.page_id, r.text) for r in wrappers.main_text(spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("rule", F.lit(1))).collect())
