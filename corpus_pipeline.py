@@ -19,8 +19,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of near duplicates."""
-    return minhash.keep_one(docs)
+    """One row, that of the smallest doc_id, of each class of near duplicates; rows without a doc_id come last."""
+    return minhash.keep_one(docs, null_ids=False)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import U64, Scratch, components, fresh, hashes, lists, mix, slices, text_key
+from locusmill.llm.common import ROW_ID, U64, Scratch, components, hashes, lists, mix, running_total, slices, text_key, with_row_ids
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: at similarity 0.8 a pair is missed with probability 6e-5, at 0.85 with 6e-8; at 0.4 it is
@@ -259,9 +259,28 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id; see near_classes."""
-    classes = near_classes(docs, threshold)
-    gone = fresh(docs.columns, "gone_")
-    others = classes.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(others, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, null_ids: bool = True) -> DataFrame:
+    """One row of docs for each class of near duplicates, see near_classes: of the smallest doc_id the first row with words.
+
+    Rows that share a doc_id are one document. Rows without one stay if `null_ids`; else each is a document of its own
+    that comes after those with ids, and goes if its class has another. Null and empty texts are alone in their classes.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    rows = with_row_ids(docs, scratch)
+    id_, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    own = rows.select(id_, text, *ROW_ID, F.lit(0).alias("late"))
+    named = own.where("doc_id is not null")
+    low, high, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if n and not null_ids:
+        # Numbers that no doc_id has.
+        before = (high or 0) if (high or 0) + n < 1 << 63 else low - n - 1
+        loose = running_total(scratch, own.where("doc_id is null").withColumn("one", F.lit(1)), "loose", [F.col(c) for c in ROW_ID], "one", out="nth")
+        named = named.union(loose.select((F.lit(before) + F.col("nth")).alias("doc_id"), "text", *ROW_ID, F.lit(1).alias("late")))
+        named = scratch.keep(named, "named")
+    classes = near_classes(named.select("doc_id", "text"), threshold).groupBy(F.col("doc_id").alias("d_")).agg(F.min("class_id").alias("class_id"))
+    blank = ~F.col("text").rlike(r"\S")
+    first = named.groupBy("late", "doc_id").agg(F.min(F.struct(blank.alias("blank"), *ROW_ID)).alias("row"))
+    one = first.join(classes, F.col("doc_id") == F.col("d_")).groupBy("class_id").agg(F.min(F.struct("late", "doc_id", "row")).alias("best"))
+    stay = one.select(*(F.col(f"best.row.{c}").alias(c) for c in ROW_ID))
+    gone = scratch.keep(named.select(*ROW_ID).join(stay, list(ROW_ID), "left_anti"), "gone")
+    return rows.join(gone, list(ROW_ID), "left_anti").select(*docs.columns)

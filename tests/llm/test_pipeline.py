@@ -78,3 +78,27 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, schema).withColumn("size", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES[1:]:
         stage(spark, docs, SF).collect()
+
+
+def test_repeated_rows(spark):
+    """Repeated and id-less copies go, and one row of each group reaches the mix with its text."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a, "en", "s", 1), (None, a, "en", "s", 1), (5, "", "en", "s", 0), (5, b, "en", "s", 1), (5, b, "en", "s", 1)]
+    rows += [(None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, f"{c} end", "en", "t", 1), (None, "", "en", "s", 0), (None, None, "en", "s", 0), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = corpus_pipeline.distinct_documents(spark, docs, SF)
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(k for k in kept if k[0] is not None) == [(1, a), (5, b), (7, "")]
+    loose = [t for i, t in kept if i is None]
+    assert len(loose) == 3 and {t for t in loose if t} < {c, f"{c} end"} and len([t for t in loose if t]) == 1
+    after = corpus_pipeline.without_repeats(spark, got, SF)
+    assert sorted(map(str, after.select("doc_id", "text").collect())) == sorted(map(str, got.select("doc_id", "text").collect()))
+
+
+@pytest.mark.parametrize("most", [2**63 - 1, 9])
+def test_ids_at_the_end(spark, most):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(most, "a b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (None, "g h i j k l", "en", "s", 1)]
+    got = corpus_pipeline.distinct_documents(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "g h i j k l"), (most, "a b c d e f")]
