@@ -381,3 +381,22 @@ def test_scores(spark, monkeypatch):
     common = [i for i in range(150) if held[i]]
     assert sum(got[i].score for i in common) / sum(got[i].n_tokens for i in common) > -2.5
     assert scoring.score_documents(df.limit(0)).count() == 0
+
+
+def test_pilot(spark, monkeypatch):
+    """One very long text doesn't empty the start's sample, and the sample doesn't depend on the order of rows."""
+    monkeypatch.setattr(scoring, "PILOT_BYTES", 6400)
+    texts = ["long " * 3000, *(f"{w} stone river" for w in "abcdefghij"), None]
+    path = scoring.default_tokenizer()
+    df = docs(spark, texts).coalesce(1)
+    ids, lens = scoring.pilot(df, len(texts), path, 0)
+    assert len(lens) == len(texts) and 0 < lens.max() <= 101
+    again = scoring.pilot(df.orderBy(F.desc("doc_id")), len(texts), path, 0)
+    assert (again[0] == ids).all() and (again[1] == lens).all()
+
+
+def test_trainers_without_pilot(spark, monkeypatch):
+    """The trainers run even if the pilot gives nothing."""
+    monkeypatch.setattr(scoring, "pilot", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    model, _, _ = scoring.fit(docs(spark, ["The river runs slowly, the stones stay."] * 40), scoring.Scratch(spark, "t"))
+    assert np.abs(model.params["wo"]).max() > 0
