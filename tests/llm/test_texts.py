@@ -395,6 +395,25 @@ def test_pilot(spark, monkeypatch):
     assert (again[0] == ids).all() and (again[1] == lens).all()
 
 
+def test_trainers_see_all_words(spark, monkeypatch):
+    """Every subword and end of the training fold is a target of a gradient step, once."""
+    path, seen = scoring.default_tokenizer(), Counter()
+    texts = [" ".join(f"w{i} stone{k % 7}" for k in range(600 + i)) for i in range(3)] + ["", None, "short one"]
+    vocab = scoring.word_ids(path, True).tok.get_vocab_size()
+    start = type("Sent", (), {"value": scoring.Model(path, 0, attention.initial(vocab), np.arange(vocab) % attention.CLASSES)})
+    gradients = attention.gradients
+
+    def counted(p, inputs, targets, scored, classes):
+        seen.update(targets[scored].tolist())
+        return gradients(p, inputs, targets, scored, classes)
+
+    monkeypatch.setattr(attention, "gradients", counted)
+    batch = scoring.pa.RecordBatch.from_arrays([scoring.pa.array(texts)], names=["text"])
+    out = list(scoring.trainer(path, 0, start, 7)(iter([batch])))
+    ids, _ = scoring.encode(path, 0, [(t or "").encode().split() for t in texts])
+    assert seen == Counter(ids.tolist()) and out[0].column(1)[0].as_py() == len(ids)
+
+
 def test_trainers_without_pilot(spark, monkeypatch):
     """The trainers run even if the pilot gives nothing."""
     monkeypatch.setattr(scoring, "pilot", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
