@@ -30,6 +30,15 @@ def escape(text: str) -> str:
     return CONTROL.sub(lambda m: ESCAPES[m[0]], text)
 
 
+def head_of(role: str, fresh: bool) -> str:
+    return (NEW if fresh else OLD) + escape(role).replace("\n", "\\n") + "\n"
+
+
+def formatted_turn(role: str, text: str) -> str:
+    """A turn as it stands in a window, with the longer of the two marks, for counting its tokens."""
+    return f"{head_of(role, False)}{escape(text)} {END}"
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: BACK[m[1]], text, flags=re.S)
 
@@ -45,7 +54,8 @@ class Turn:
 class Windows:
     """Turns of one conversation, in order, to formatted windows; holds one window and its history at most.
 
-    The running sum of turn tokens decides: a span of new turns ends before the turn with which the window, its system
+    Tokens are those of formatted turns, so role, marks, escapes and END count too, and of BEGIN. The running sum of
+    turn tokens decides: a span of new turns ends before the turn with which the window, its system
     turn and its history would pass the budget. The next window begins with the system turn, then as many of the last
     turns before it as HISTORY tokens allow, neither being a target again, then the new turns. A turn that is larger
     than the budget is a window's only new turn. Turns are never cut.
@@ -53,6 +63,7 @@ class Windows:
 
     budget: int = BUDGET
     history: int = HISTORY
+    begin: int = 0
     system: Turn | None = None
     past: deque = field(default_factory=deque)
     past_tokens: int = 0
@@ -63,7 +74,7 @@ class Windows:
     any: bool = False
 
     def add(self, turn: Turn) -> Iterator[tuple]:
-        used = self.total - self.span_start + self.past_tokens + (self.system.tokens if self.system and self.number else 0)
+        used = self.begin + self.total - self.span_start + self.past_tokens + (self.system.tokens if self.system and self.number else 0)
         if self.new and used + turn.tokens > self.budget:
             yield self.close()
         if not self.any and turn.role == "system":
@@ -77,7 +88,7 @@ class Windows:
         parts, mask, at = [BEGIN], [], len(BEGIN)
         repeated = [*([self.system] if self.system and self.number else []), *self.past]
         for turn, fresh in [*((t, False) for t in repeated), *((t, True) for t in self.new)]:
-            head = (NEW if fresh else OLD) + escape(turn.role).replace("\n", "\\n") + "\n"
+            head = head_of(turn.role, fresh)
             body = escape(turn.text)
             parts += [head, body, END]
             if fresh and turn.role == TRAINED:
@@ -115,16 +126,18 @@ def ordered(turns: DataFrame) -> DataFrame:
 def windows(tokenizer: str, budget: int, history: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(tokenizer)
-        now, last, first = Windows(budget, history), None, True
+        begin = len(ids.prepare({BEGIN.encode()})[BEGIN.encode()]) // 4
+        now, last, first = Windows(budget, history, begin), None, True
         for batch in batches:
             out: list[tuple] = []
-            known = ids.prepare({w for text in batch.column(2).to_pylist() for w in text.encode().split()})
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            known = ids.prepare({w for _, role, text in rows for w in formatted_turn(role, text).encode().split()})
+            for conv, role, text in rows:
                 if first or conv != last:
                     if not first:
                         out.append((last, *now.close()))
-                    now, last, first = Windows(budget, history), conv, False
-                turn = Turn(role, text, sum(map(len, map(known.__getitem__, text.encode().split()))) // 4)
+                    now, last, first = Windows(budget, history, begin), conv, False
+                turn = Turn(role, text, sum(map(len, map(known.__getitem__, formatted_turn(role, text).encode().split()))) // 4)
                 out += [(conv, *w) for w in now.add(turn)]
             yield window_batch(out)
         if not first:
@@ -147,8 +160,9 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None, budget: int = B
 
     A window is BEGIN and its turns, each marked NEW (or OLD when repeated), with role, a line feed, text and END; mask
     holds the start and end, in code points, of each target: the text of a new turn of the assistant. Null texts and
-    roles are empty, rows with a null conv_id are one conversation. A conversation streams through one task in order,
-    which holds no more of it than a window.
+    roles are empty but count with their marks, so however many there are, windows stay within the budget; only a turn
+    that is larger than the budget by itself passes it. Rows with a null conv_id are one conversation. A conversation
+    streams through one task in order, which holds no more of it than a window and a batch.
     """
     ready(turns.sparkSession)
     return ordered(turns).mapInArrow(windows(tokenizer or default_tokenizer(), budget, history), WINDOW)

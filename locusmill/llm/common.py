@@ -122,28 +122,44 @@ def lists(values: np.ndarray, lengths: list[int], kind=pa.int64()) -> pa.Array:
 def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of links (a, b): rows (node, label), the label being the component's smallest node.
 
-    In each round every node goes to the smallest of itself and its neighbours, and the links are drawn anew between
-    the nodes so reached, until none is left; a node's label is where the rounds' steps lead. Links inside what has
-    become one node vanish, so the first round is the only one that sees all of them. Rounds are written tables.
+    Links are contracted in rounds until none is left: every node goes to the first of itself and its neighbours, and
+    the links are drawn anew between the nodes so reached. In the first round the order is that of the nodes, which
+    ends stars around their smallest node at once; in each later one it is a new random order, which halves the nodes
+    that still have links, or better, on average, whatever their numbers: O(log n) rounds. Then the rounds' steps are
+    followed back from the last to the first, each being as large as its round, and the last names are exchanged for
+    the smallest nodes. Rounds are written tables, so no plan grows with their number.
     """
     now = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-links0")
-    steps, k = None, 0
+    steps: list[DataFrame] = []
     while now.limit(1).count():
-        ends = now.select(F.col("a").alias("node"), F.col("a").alias("to")).union(now.select("b", "a"))
-        step = scratch.keep(ends.groupBy("node").agg(F.min("to").alias("to")), f"{name}-step{k}")
+        k = len(steps)
+        ends = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a"))
+        if k == 0:
+            first = F.least("node", F.min("other"))
+        else:
+            turn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("turn"), F.col(c).alias("node"))  # noqa: B023, E731
+            first = F.least(F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("turn"), "node"), F.min(turn("other")))["node"]
+        step = scratch.keep(ends.groupBy("node").agg(first.alias("to")), f"{name}-step{k}")
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        k += 1
         now = now.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-        now = scratch.keep(now, f"{name}-links{k}")
-        if steps is None:
-            steps = step
-        else:
-            further = step.select(F.col("node").alias("to"), F.col("to").alias("then"))
-            steps = steps.join(further, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
-    if steps is None:
+        now = scratch.keep(now, f"{name}-links{k + 1}")
+        scratch.drop(f"{name}-links{k}")
+        steps.append(step)
+    if not steps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return scratch.keep(steps.select("node", F.col("to").alias("label")), f"{name}-labels")
+    ways = steps[-1]
+    for k in range(len(steps) - 2, -1, -1):
+        further = ways.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        ways = steps[k].join(further, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+        if k == 0 or k % 4 == 1:
+            ways = scratch.keep(ways, f"{name}-ways{k}")
+    if len(steps) > 1:
+        least = ways.groupBy("to").agg(F.min("node").alias("label"))
+        ways = ways.join(least, "to").select("node", "label")
+    else:
+        ways = ways.select("node", F.col("to").alias("label"))
+    return scratch.keep(ways, f"{name}-labels")
 
 
 def running_total(scratch: Scratch, df: DataFrame, name: str, order: list, value: str, group: str | None = None, out: str = "cum") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Quality classifier: how much better a dictionary of good text compresses a text than one of bad text."""
+"""Quality classifier: how much better a dictionary of good text compresses a text than one of bad text, and nothing else."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,62 +15,66 @@ from pyspark.sql import functions as F
 from locusmill.llm.common import fresh, ready, slices
 
 #: The bounded sample that is fitted: documents of each label for the dictionaries, documents of any label for the
-#: calibration, and bytes of either. Scoring has no bound.
-DICT_DOCS, CALIBRATION_DOCS, SAMPLE_BYTES = 1000, 4000, 48 << 20
-DICT_BYTES, CHUNK, LEVEL = 112_640, 2048, 3
+#: calibration, and code points of a run of each. Scoring has no bound.
+DICT_DOCS, CALIBRATION_DOCS, SAMPLE_CHARS = 1000, 4000, 16_384
+#: Bytes of a dictionary, bytes that are compressed at a time (so that the dictionary, not what the text itself has said
+#: before, decides the size throughout a long text), and level.
+DICT_BYTES, CHUNK, LEVEL = 1 << 20, 512, 9
 THRESHOLD = 0.3
 
 
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    bare = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if not dictionary:
+        return zstandard.ZstdCompressor(**bare)
+    return zstandard.ZstdCompressor(**bare, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
 @dataclass
 class Compressors:
     good: zstandard.ZstdCompressor
     bad: zstandard.ZstdCompressor
-    plain: zstandard.ZstdCompressor
 
     @classmethod
     def of(cls, good: bytes, bad: bytes) -> Compressors:
-        return cls(*(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in (good, bad, b"")))
+        return cls(compressor(good), compressor(bad))
 
-    def sizes(self, texts: list[bytes]) -> np.ndarray:
-        """The normalised difference of the compressed sizes, and the logarithm of the ratio without a dictionary, which
-        tells how far the difference can be relied on: text that repeats itself compresses well with either."""
-        rows = np.empty((len(texts), 2))
+    def difference(self, texts: list[bytes]) -> np.ndarray:
+        """The normalised difference of the compressed sizes: (good - bad) in bytes a byte of text."""
+        out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            g, b = len(self.good.compress(t)), len(self.bad.compress(t))
-            rows[i] = (g - b) / max(g, b), np.log(len(self.plain.compress(t)) / (len(t) + 20.0))
-        return rows
+            parts = [t[k : k + CHUNK] for k in range(0, max(1, len(t)), CHUNK)]
+            g, b = (sum(map(len, map(c.compress, parts))) for c in (self.good, self.bad))
+            out[i] = (g - b) / (len(t) + 20)
+        return out
 
 
-def expand(sizes: np.ndarray) -> np.ndarray:
-    d, r = sizes[:, 0], sizes[:, 1]
-    hinge = [np.maximum(r - k, 0) for k in (-2.5, -2.0, -1.5, -1.0)]
-    return np.stack([np.ones(len(d)), d, np.maximum(d, 0), d * r, r, r * r, *hinge], axis=1)
+def expand(d: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Columns of the calibration: a broken line in the difference."""
+    return np.stack([np.ones(len(d)), d, *(np.maximum(d - k, 0) for k in knots)], axis=1)
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
+    knots: np.ndarray
     weights: np.ndarray
-    #: Least and largest sizes in the calibration, to which those of a text are drawn.
-    low: np.ndarray
-    high: np.ndarray
+    #: Least and largest difference in the calibration, to which those of a text are drawn.
+    low: float
+    high: float
 
     def score(self, texts: list[bytes], compressors: Compressors | None = None) -> np.ndarray:
         c = compressors or Compressors.of(self.good, self.bad)
-        x = expand(np.clip(c.sizes(texts), self.low, self.high))
+        x = expand(np.clip(c.difference(texts), self.low, self.high), self.knots)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary of texts; too few for training are taken as they are."""
-    chunks = [t[k : k + CHUNK] for t in texts for k in range(0, len(t), CHUNK)]
-    if not chunks:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, chunks).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(chunks)[-DICT_BYTES:]
+    """A raw-content dictionary: of each text an equal share of DICT_BYTES, from a place that its checksum tells."""
+    share = max(256, DICT_BYTES // max(1, len(texts)))
+    starts = (zlib.crc32(t) % max(1, len(t) - share + 1) for t in texts)
+    return b"\n".join(t[k : k + share] for t, k in zip(texts, starts, strict=True))[-DICT_BYTES:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -101,8 +106,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60)
 def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> list[tuple[int, int, bytes]]:
     """(use, label, text) of labelled documents outside the held-out fold; use 0: dictionaries, 1: calibration.
 
-    A hash of the id tells the use and the order: at most DICT_DOCS of each label, and CALIBRATION_DOCS of any. An id
-    whose labels disagree isn't used; null labels and texts aren't either.
+    A hash of the id tells the use and the order: at most DICT_DOCS of each label, and CALIBRATION_DOCS of any, and
+    of a longer text a run of SAMPLE_CHARS. An id whose labels disagree isn't used; null labels and texts aren't either.
     """
     per = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id_"))
     per = per.agg(F.min("quality").alias("q_"), F.max("quality").alias("z_")).where("q_ = z_")
@@ -111,21 +116,20 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5
     for q in (0, 1):
         few = few.union(per.where((F.col("use_") == 0) & (F.col("q_") == q)).orderBy("o_").limit(DICT_DOCS))
     got = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), F.col("doc_id") == F.col("id_"))  # a few thousand ids
-    out, size = {}, 0
-    for o, use, q, t in got.select("o_", "use_", "q_", "text").toLocalIterator():
-        if (o, t) not in out and size < SAMPLE_BYTES:
-            size += len(t)
-            out[o, t] = (use, int(q), t.encode())
+    place = F.pmod("o_", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    got = got.select("o_", "use_", "q_", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
+    out = {(o, t): (use, int(q), t.encode()) for o, use, q, t in got.toLocalIterator()}
     return [out[k] for k in sorted(out)]
 
 
 def fit(rows: list[tuple[int, int, bytes]]) -> QualityModel:
     good, bad = (dictionary([t for use, y, t in rows if use == 0 and y == q]) for q in (1, 0))
-    c = Compressors.of(good, bad)
     rest = [(y, t) for use, y, t in rows if use == 1]
-    x = c.sizes([t for _, t in rest] or [b""])
-    weights = logistic(expand(x), np.array([y for y, _ in rest], dtype=float)) if rest else np.zeros(expand(x).shape[1])
-    return QualityModel(good, bad, weights, x.min(axis=0), x.max(axis=0))
+    d = Compressors.of(good, bad).difference([t for _, t in rest] or [b""])
+    knots = np.quantile(d, [0.5, 0.9])
+    x = expand(d, knots)
+    weights = logistic(x, np.array([y for y, _ in rest], dtype=float)) if rest else np.zeros(x.shape[1])
+    return QualityModel(good, bad, knots, weights, float(d.min()), float(d.max()))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> QualityModel:

@@ -2,13 +2,14 @@
 
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from locusmill.llm import embeddings, minhash, substring
-from locusmill.llm.common import hashes
+from locusmill.llm.common import Scratch, components, hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,3 +155,35 @@ def test_levels():
     assert (substring.window_hashes(w, 35)[3] == substring.window_hashes(w[3:38], 35)).all()
     x = np.array([5, 3, 3, 9, 1, 7], dtype=np.uint64)
     assert substring.smallest(x, 3).tolist() == [1, 1, 4, 4]
+
+
+@pytest.mark.parametrize("shape", ["rising", "shuffled", "star", "grid"])
+def test_components(spark, shape):
+    """A chain of 5000, whatever its order, ends in under 20 rounds; labels are the smallest nodes."""
+    rng = np.random.default_rng(2)
+    n = 5000 if shape != "grid" else 900
+    ids = np.arange(n) if shape == "rising" else rng.permutation(n)
+    if shape == "star":
+        pairs = [(ids[0], x) for x in ids[1:4000]]
+    elif shape == "grid":
+        pairs = [(ids[i], ids[i + d]) for i in range(n) for d in (1, 30) if i + d < n and (d > 1 or (i + 1) % 30) and i // 30 not in (9, 20) and (i + d) // 30 not in (9, 20)]
+    else:
+        pairs = [(ids[i], ids[i + 1]) for i in range(n - 1) if i != 3000]
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long")
+    scratch = Scratch(spark, "chain")
+    got = {r.node: r.label for r in components(scratch, links).collect()}
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(int(a), []).append(int(b))
+        near.setdefault(int(b), []).append(int(a))
+    want: dict = {}
+    for x in sorted(near):
+        todo = [] if x in want else [x]
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    assert got == want
+    rounds = len(list(Path(scratch.base.removeprefix("file://")).glob("cc-step*")))
+    assert rounds < 20

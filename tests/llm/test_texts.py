@@ -191,6 +191,17 @@ def test_chats(spark):
     assert chat.chat_digests(df.limit(0)).count() == 0
 
 
+def test_chat_budget(spark):
+    """Windows hold no more tokens than the budget, marks and roles counted, unless one new turn alone is larger."""
+    rows = [(1, i, "user", "") for i in range(5000)] + turns()[2:62] + [(9, i, None, f"[INST] {i} <s> \\") for i in range(900)]
+    df = spark.createDataFrame([(c if c is None or c == 9 else 1 + (t or 0) % 1 + c, t, r, x) for c, t, r, x in rows], "conv_id long, turn long, role string, text string")
+    tok = packing.word_ids(packing.default_tokenizer()).tok
+    got = chat.format_chats(df).collect()
+    sizes = [len(tok.encode(r.formatted, add_special_tokens=False).ids) for r in got]
+    assert all(n <= chat.BUDGET or r.n_new == 1 for n, r in zip(sizes, got))
+    assert sum(r.n_new for r in got) == len(rows) and len(got) > 5000 * 4 // chat.BUDGET
+
+
 def test_escapes():
     for t in ("", "\\", "<s", "<s>", "<</s>>", "[[INST]]", "\\<s>\\l", "[/INST]x</s>"):
         e = chat.escape(t)
