@@ -1,6 +1,7 @@
 """Media, pages, chats, quality, packing, mixing and language-model scores."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -320,18 +321,21 @@ def test_gradients():
     for k in ("wo", "w2", "bias"):
         p[k] = rng.standard_normal(p[k].shape) * 0.2
     w = attention.windows(rng.integers(0, 29, 70), np.array([50, 20]), 29)
-    classes = np.arange(30) % attention.CLASSES
-    _, g = attention.gradients(p, w.inputs, w.targets, w.scored, classes)
-    dense = np.zeros_like(p["emb"])
-    np.add.at(dense, w.inputs.ravel(), g["emb"])
-    g["emb"] = dense
+    y = (np.arange(30) % attention.CLASSES)[w.targets]
+
+    def run():
+        return attention.gradients(p, p["emb"][w.inputs], y, w.scored)
+
+    _, g = run()
+    g["emb"] = np.zeros_like(p["emb"])
+    np.add.at(g["emb"], w.inputs.ravel(), g["rows"])
     for k in attention.NAMES:
         at = tuple(rng.integers(0, s) for s in p[k].shape) if k != "emb" else (int(w.inputs[0, 1]), 0)
         old, h = p[k][at], 1e-4
         p[k][at] = old + h
-        up = attention.gradients(p, w.inputs, w.targets, w.scored, classes)[0]
+        up = run()[0]
         p[k][at] = old - h
-        down = attention.gradients(p, w.inputs, w.targets, w.scored, classes)[0]
+        down = run()[0]
         p[k][at] = old
         assert (up - down) / (2 * h) == pytest.approx(g[k][at], abs=2e-5)
 
@@ -351,26 +355,86 @@ def test_fast_scores_are_the_model():
         p[k] = (rng.standard_normal(p[k].shape) * 0.5).astype(np.float32)
     classes, within = np.arange(30) % attention.CLASSES, rng.standard_normal(30).astype(np.float32)
     w = attention.windows(rng.integers(0, 29, 170), np.array([150, 20]), 29)
-    e = attention.class_probs(p, attention.hidden(p, w.inputs))
+    e = attention.class_probs(p, attention.hidden(p, p["emb"][w.inputs]))
     e /= e.sum(axis=1, keepdims=True)
     y = w.targets.ravel()
     want = (np.log(e[np.arange(len(y)), classes[y]]) + within[y])[w.scored.ravel()]
-    assert attention.log_scores(p, w, classes, within, 3) == pytest.approx(want, abs=1e-4)
+    assert attention.log_scores(p, w, p["emb"], classes, within, 3) == pytest.approx(want, abs=1e-4)
 
 
 def test_causal_and_normalised():
     p = attention.initial(30)
     rng = np.random.default_rng(2)
     p["wo"] = rng.standard_normal(p["wo"].shape).astype(np.float32)
-    x = rng.integers(0, 30, (1, 32))
+    x = rng.standard_normal((1, 32, attention.DIM)).astype(np.float32)
     y = x.copy()
-    y[0, 20:] = rng.integers(0, 30, 12)
+    y[0, 20:] = rng.standard_normal((12, attention.DIM))
     a, b = attention.hidden(p, x), attention.hidden(p, y)
     assert np.allclose(a[:20], b[:20], atol=1e-6) and not np.allclose(a[20:], b[20:])
     classes = np.arange(30) % attention.CLASSES
-    table = np.exp(scoring.refine(rng.integers(0, 9, (attention.CLASSES + 1, 30)).astype(float), classes))
-    for row in table:
-        assert np.bincount(classes, row, attention.CLASSES)[:30] == pytest.approx(1.0, abs=1e-5)
+    begin, cont = scoring.refine(rng.integers(0, 9, (attention.CLASSES + 1, 31)).astype(float), classes)
+    assert np.bincount(classes, np.exp(begin), attention.CLASSES)[:30] == pytest.approx(1.0, abs=1e-5)
+    assert np.exp(cont).sum(axis=1) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_probabilities_sum_to_one(spark):
+    """Of all texts of up to four words of a small vocabulary, known or not, the probabilities sum to 1 at most."""
+    words = ["strawberryfields", "strawberry", "fields", "berry", "Straw"]
+    texts = [" ".join(t) for n in range(5) for t in itertools.product(words, repeat=n)]
+    train = ["strawberryfields"] * 1500 + ["strawberryfields fields"] * 300
+    rows = [(i, t) for i, t in enumerate(train) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5 == 1][: len(texts)]
+    got = scoring.score_documents(spark.createDataFrame([*rows, *zip(held, texts)], "doc_id long, text string")).where("doc_id >= 10000").collect()
+    p = {r.doc_id: 10**r.score for r in got}
+    assert len(p) == len(texts) and 0.6 < sum(p.values()) <= 1.0
+    assert p[held[1]] > 0.3
+
+
+def test_scores_by_plain_loops(spark):
+    """Scores against a loop over tokens: the definition, window by window, without tables or chunks."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["The", "river", "runs", "slowly,", "über", "stones."]) for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    df = docs(spark, texts)
+    keep = scoring.Scratch(spark, "t")
+    model, _, _ = scoring.fit(scoring.with_row_ids(df, keep), keep)
+    own = scoring.Words(model.path, model.end, model)
+    n, known, _, got, others, _ = scoring.score(model, own, [t.encode() for t in texts])
+    for k in range(len(texts)):
+        ws = [*texts[k].encode().lower().split(), b""]
+        want = 0.0
+        for at, word in enumerate(ws):
+            begin = 0 if at < attention.WINDOW else (at - attention.WINDOW) // attention.STRIDE * attention.STRIDE + attention.STRIDE
+            row = lambda w: model.params["emb"][own.subwords(np.array([own[w]]))[0]].mean(axis=0)
+            x = np.stack([row(ws[j - 1]) if j else row(b"") for j in range(begin, at + 1)])[None]
+            e = attention.class_probs(model.params, attention.hidden(model.params, x)[-1:])[0]
+            ids = own.subwords(np.array([own[word]]))[0].tolist()
+            cls = model.classes[ids[0]]
+            lp = float(model.begin[ids[0]]) + (sum(float(model.cont[model.slots[a], b]) for a, b in zip(ids, [*ids[1:], -1])) if word else 0.0)
+            mass = sum(c for w, c in model.hot.items() if model.classes[own.subwords(np.array([own[w]]))[0][0]] == cls)
+            types = sum(model.classes[own.subwords(np.array([own[w]]))[0][0]] == cls for w in model.hot)
+            assert word in model.hot and not others[k]
+            want += math.log10(e[cls] / e.sum() * ((model.hot[word] - 0.75) / mass + 0.75 * types / mass * math.exp(lp)))
+        assert got[k] == pytest.approx(want, abs=2e-3) and n[k] == len(ws)
+
+
+def test_cores_do_not_matter(spark, monkeypatch):
+    """Scores are the same however the rows are dealt out, with several trainers."""
+    monkeypatch.setattr(scoring, "TRAINER_WORDS", 500)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["river", "runs", "slow", "stone", "under"]) for _ in range(40)) for _ in range(80)]
+    path = f"file://{scoring.Scratch(spark, 't').base.removeprefix('file://')}"
+    docs(spark, texts).repartition(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    one = {r.doc_id: r.score for r in scoring.score_documents(df).collect()}
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+    try:
+        two = {r.doc_id: r.score for r in scoring.score_documents(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[1])
+    assert one == pytest.approx(two, rel=1e-9)
 
 
 def test_scores(spark, monkeypatch):
@@ -391,6 +455,9 @@ def test_scores(spark, monkeypatch):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score <= 1e-9
     common = [i for i in range(150) if held[i]]
     assert sum(got[i].score for i in common) / sum(got[i].n_tokens for i in common) > -2.5
+    monkeypatch.setattr(scoring, "HOT_WORDS", 1 << 17)
+    again = {r.doc_id: r.score for r in scoring.score_documents(df).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()}, rel=1e-6)  # hot or not, a word's share is the same
     assert scoring.score_documents(df.limit(0)).count() == 0
 
 
@@ -398,35 +465,36 @@ def test_pilot(spark, monkeypatch):
     """One very long text doesn't empty the start's sample, and the sample doesn't depend on the order of rows."""
     monkeypatch.setattr(scoring, "PILOT_BYTES", 6400)
     texts = ["long " * 3000, *(f"{w} stone river" for w in "abcdefghij"), None]
-    path = scoring.default_tokenizer()
     df = docs(spark, texts).coalesce(1)
-    ids, lens = scoring.pilot(df, len(texts), path, 0)
-    assert len(lens) == len(texts) and 0 < lens.max() <= 101
-    again = scoring.pilot(df.orderBy(F.desc("doc_id")), len(texts), path, 0)
-    assert (again[0] == ids).all() and (again[1] == lens).all()
+    got = scoring.pilot(df, len(texts))
+    assert len(got) == len(texts) and 0 < max(map(len, got)) <= 100
+    assert scoring.pilot(df.orderBy(F.desc("doc_id")), len(texts)) == got
 
 
 def test_trainers_see_all_words(spark, monkeypatch):
-    """Every subword and end of the training fold is a target of a gradient step, once."""
+    """Every word and end of the training fold is a target of a gradient step, once."""
     path, seen = scoring.default_tokenizer(), Counter()
     texts = [" ".join(f"w{i} stone{k % 7}" for k in range(600 + i)) for i in range(3)] + ["", None, "short one"]
     vocab = scoring.word_ids(path, True).tok.get_vocab_size()
-    start = type("Sent", (), {"value": scoring.Model(path, 0, attention.initial(vocab), np.arange(vocab) % attention.CLASSES)})
+    sent = type("Sent", (), {"value": scoring.start_of([], path, 50256, vocab)})
     gradients = attention.gradients
 
-    def counted(p, inputs, targets, scored, classes):
-        seen.update(targets[scored].tolist())
-        return gradients(p, inputs, targets, scored, classes)
+    def counted(p, x, y, scored):
+        seen.update(y[scored].tolist())
+        return gradients(p, x, y, scored)
 
     monkeypatch.setattr(attention, "gradients", counted)
-    batch = scoring.pa.RecordBatch.from_arrays([scoring.pa.array(texts)], names=["text"])
-    out = list(scoring.trainer(path, 0, start, 7)(iter([batch])))
-    ids, _ = scoring.encode(path, 0, [(t or "").encode().split() for t in texts])
-    assert seen == Counter(ids.tolist()) and out[0].column(1)[0].as_py() == len(ids)
+    batch = scoring.pa.RecordBatch.from_arrays([scoring.pa.array([0, 0, 0, 1, 1, 1]), scoring.pa.array(texts)], names=["of", "text"])
+    out = list(scoring.trainer(sent, 7)(iter([batch])))
+    words = scoring.Words(path, 50256)
+    numbers, lens = words.numbers([(t or "").encode().split() for t in texts])
+    assert seen == Counter((words.flat[words.start[numbers]] % attention.CLASSES).tolist())
+    assert [b.column(1)[0].as_py() for b in out] == [0, 1] and [b.column(2)[0].as_py() for b in out] == [lens[:3].sum(), lens[3:].sum()]
 
 
 def test_trainers_without_pilot(spark, monkeypatch):
     """The trainers run even if the pilot gives nothing."""
-    monkeypatch.setattr(scoring, "pilot", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    model, _, _ = scoring.fit(docs(spark, ["The river runs slowly, the stones stay."] * 40), scoring.Scratch(spark, "t"))
+    monkeypatch.setattr(scoring, "pilot", lambda *a: [])
+    keep = scoring.Scratch(spark, "t")
+    model, _, _ = scoring.fit(scoring.with_row_ids(docs(spark, ["The river runs slowly, the stones stay."] * 40), keep), keep)
     assert np.abs(model.params["wo"]).max() > 0
