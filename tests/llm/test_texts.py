@@ -315,6 +315,23 @@ def test_mixing(spark):
 # Language model
 
 
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def test_subwords_are_the_tokenizers():
+    """Words encoded many at a time have the subwords that they have alone, white space of other kinds or not."""
+    words = ["don't", "12,5", "é", "\u00a0", "a\u00a0b", "\u3000x\u2003", "<|endoftext|>", "...", "\U0001f600", "İ", "x" * 300, "'s"] * 3
+    path = scoring.default_tokenizer()
+    ids, counts = scoring.encode_words(path, words)
+    each = [scoring.encoding(path)[0].encode_ordinary(" " + w) for w in words]
+    assert ids.tolist() == sum(each, []) and counts.tolist() == list(map(len, each))
+    plain = [w for w in words if not scoring.OTHER_SPACE.search(w)]
+    ids, counts = scoring.encode_words(path, plain)
+    assert ids.tolist() == sum((scoring.encoding(path)[0].encode_ordinary(" " + w) for w in plain), [])
+    flat, lens = scoring.split_words(scoring.pa.array([" A b\tÉ\x0b", None, "", "\u00a0x\x1cy  z"]))
+    assert flat.to_pylist() == ["a", "b", "É", "\u00a0x\x1cy", "z"] and lens.tolist() == [3, 0, 0, 2]
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in attention.initial(30).items()}
@@ -397,22 +414,22 @@ def test_scores_by_plain_loops(spark):
     df = docs(spark, texts)
     keep = scoring.Scratch(spark, "t")
     model, _, _ = scoring.fit(scoring.with_row_ids(df, keep), keep)
-    own = scoring.Words(model.path, model.end, model)
-    n, known, _, got, others, _ = scoring.score(model, own, [t.encode() for t in texts])
+    own = scoring.Words(model.path, model)
+    n, known, _, got, others = scoring.score(model, own, scoring.pa.array(texts))
     for k in range(len(texts)):
-        ws = [*texts[k].encode().lower().split(), b""]
+        ws = [*texts[k].translate(LOWER).split(), ""]
         want = 0.0
         for at, word in enumerate(ws):
             begin = 0 if at < attention.WINDOW else (at - attention.WINDOW) // attention.STRIDE * attention.STRIDE + attention.STRIDE
             row = lambda w: model.params["emb"][own.subwords(np.array([own[w]]))[0]].mean(axis=0)
-            x = np.stack([row(ws[j - 1]) if j else row(b"") for j in range(begin, at + 1)])[None]
+            x = np.stack([row(ws[j - 1]) if j else row("") for j in range(begin, at + 1)])[None]
             e = attention.class_probs(model.params, attention.hidden(model.params, x)[-1:])[0]
             ids = own.subwords(np.array([own[word]]))[0].tolist()
             cls = model.classes[ids[0]]
             lp = float(model.begin[ids[0]]) + (sum(float(model.cont[model.slots[a], b]) for a, b in zip(ids, [*ids[1:], -1])) if word else 0.0)
             mass = sum(c for w, c in model.hot.items() if model.classes[own.subwords(np.array([own[w]]))[0][0]] == cls)
             types = sum(model.classes[own.subwords(np.array([own[w]]))[0][0]] == cls for w in model.hot)
-            assert word in model.hot and not others[k]
+            assert word in model.hot and not len(others[k])
             want += math.log10(e[cls] / e.sum() * ((model.hot[word] - 0.75) / mass + 0.75 * types / mass * math.exp(lp)))
         assert got[k] == pytest.approx(want, abs=2e-3) and n[k] == len(ws)
 
@@ -475,8 +492,7 @@ def test_trainers_see_all_words(spark, monkeypatch):
     """Every word and end of the training fold is a target of a gradient step, once."""
     path, seen = scoring.default_tokenizer(), Counter()
     texts = [" ".join(f"w{i} stone{k % 7}" for k in range(600 + i)) for i in range(3)] + ["", None, "short one"]
-    vocab = scoring.word_ids(path, True).tok.get_vocab_size()
-    sent = type("Sent", (), {"value": scoring.start_of([], path, 50256, vocab)})
+    sent = type("Sent", (), {"value": scoring.start_of([], path)})
     gradients = attention.gradients
 
     def counted(p, x, y, scored):
@@ -486,8 +502,8 @@ def test_trainers_see_all_words(spark, monkeypatch):
     monkeypatch.setattr(attention, "gradients", counted)
     batch = scoring.pa.RecordBatch.from_arrays([scoring.pa.array([0, 0, 0, 1, 1, 1]), scoring.pa.array(texts)], names=["of", "text"])
     out = list(scoring.trainer(sent, 7)(iter([batch])))
-    words = scoring.Words(path, 50256)
-    numbers, lens = words.numbers([(t or "").encode().split() for t in texts])
+    words = scoring.Words(path)
+    numbers, lens, _, _ = words.numbers(scoring.pa.array(texts))
     assert seen == Counter((words.flat[words.start[numbers]] % attention.CLASSES).tolist())
     assert [b.column(1)[0].as_py() for b in out] == [0, 1] and [b.column(2)[0].as_py() for b in out] == [lens[:3].sum(), lens[3:].sum()]
 
