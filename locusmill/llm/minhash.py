@@ -16,7 +16,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: at similarity 0.8 a pair is missed with probability 6e-5, at 0.85 with 6e-8; at 0.4 it is
 #: a candidate with probability 0.1.
 BANDS, ROWS = 32, 6
-#: Nodes of a family that meet at a time.
+#: Nodes of a block of a bucket.
 BLOCK = 512
 
 
@@ -118,7 +118,8 @@ def banded(k: int, bands: int, rows: int):
                 has = np.array([len(h) > 0 for h, _ in sets])
                 keys = band_keys(sig, bands, rows)[has].view(np.int64).ravel()
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(keys, [bands * int(x) for x in has])], names=["tkey", "doc_id", "keys"])
+                low = pa.array([x.tobytes() if h else None for x, h in zip(sig.astype(np.uint8), has, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(keys, [bands * int(x) for x in has]), low], names=["tkey", "doc_id", "keys", "regs"])
 
     return run
 
@@ -129,8 +130,8 @@ def verified(k: int, threshold: float):
         for df in batches:
             keep = []
             for a, ta, tb in zip(df["a"].tolist(), df["ta"].tolist(), df["tb"].tolist(), strict=True):
-                if a != last or known is None:
-                    last, known = a, shingles(hashes((ta or "").encode().split()), k)
+                if (a, ta) != last or known is None:
+                    last, known = (a, ta), shingles(hashes((ta or "").encode().split()), k)
                 keep.append(similarity(known, shingles(hashes((tb or "").encode().split()), k)) >= threshold - 1e-9)
             yield df.loc[keep, ["a", "b"]]
 
@@ -144,64 +145,44 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     return both.select("a", "b", "ta", "tb").mapInPandas(verified(k, threshold), "a long, b long")
 
 
-def resolved(k: int, threshold: float, registers: int):
-    """Rows of a pair of blocks of a family, sorted by it, to links (a, b) that join what had different labels.
+def least_agreement(threshold: float, registers: int) -> float:
+    """Registers in which a pair of the threshold's similarity agrees at least, but for 4.5 standard deviations."""
+    return registers * threshold - 4.5 * np.sqrt(registers * threshold * (1 - threshold))
 
-    All pairs across labels are looked at: those whose registers agree too seldom for the threshold (by 4.5 standard
-    deviations) are left, the others are held against each other exactly, likeliest first, unless links found before
-    have already joined their components.
-    """
-    least = registers * threshold - 4.5 * np.sqrt(registers * threshold * (1 - threshold))
-    names = ["family", "i", "j", "own", "node", "label", "text"]
-
-    def links(held: dict[str, list]) -> list[tuple[int, int]]:
-        node, label, own = held["node"], np.array(held["label"]), np.array(held["own"])
-        sets = [shingles(hashes((t or "").encode().split()), k) for t in held["text"]]
-        sig = np.concatenate([signatures(sets[x : x + 256], registers) for x in range(0, len(sets), 256)]).astype(np.uint8)
-        one = held["i"][0] == held["j"][0]
-        left = np.arange(len(node)) if one else np.flatnonzero(own == held["i"][0])
-        right = left if one else np.flatnonzero(own == held["j"][0])
-        found = []
-        if not len(left) or not len(right):
-            return []
-        for x in range(0, len(left), 32):
-            rows = left[x : x + 32]
-            same = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(axis=2)
-            p, q = np.nonzero((same >= least) & (label[rows][:, None] != label[right][None, :]))
-            keep = rows[p] < right[q] if one else np.ones(len(p), bool)
-            found.append((same[p, q][keep], rows[p][keep], right[q][keep]))
-        count, p, q = (np.concatenate(c) for c in zip(*found, strict=True))
-        root: dict[int, int] = {}
 
-        def find(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
+def likely(threshold: float, registers: int):
+    """Pairs (a, b, x, y) whose registers x and y agree as often as the threshold asks for."""
+    least = least_agreement(threshold, registers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, registers) for k in (2, 3))
+            ok = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return run
 
-        out = []
-        for at in np.argsort(-count, kind="stable").tolist():
-            x, y = int(p[at]), int(q[at])
-            u, v = find(int(label[x])), find(int(label[y]))
-            if u != v and similarity(sets[x], sets[y]) >= threshold - 1e-9:
-                root[max(u, v)] = min(u, v)
-                out.append((node[x], node[y]))
-        return out
+
+#: A group of a bucket: two of its blocks. Rows of a group come together.
+GROUP = ("key", "i", "j")
+
+
+def grouped(names: list[str], work, kind: list[tuple[str, pa.DataType]]):
+    """Runs of rows of one group, as a dictionary of lists, to the rows that `work` gives, as tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {n: [] for n in names}
         last = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            got = links(held) if len(held["node"]) > 1 else []
+            got = work(held) if len(held["node"]) > 1 else []
             if got:
-                a, b = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*got, strict=True), kind, strict=True)], names=[n for n, _ in kind])
             for v in held.values():
                 v.clear()
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 if row[:3] != last:
                     yield from done()
                     last = row[:3]
@@ -212,15 +193,102 @@ def resolved(k: int, threshold: float, registers: int):
     return run
 
 
+def open_pairs(held: dict[str, list], threshold: float, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group, the pairs between its two blocks (within its block, if it is one) that have different labels, registers
+    that agree often enough, and no earlier band in common: places p and q, and how many registers agree."""
+    label, own = np.array(held["label"]), np.array(held["own"])
+    regs = np.frombuffer(b"".join(held["regs"]), np.uint8).reshape(-1, bands * rows)
+    keys = np.array(held["keys"], dtype=np.int64)
+    least = least_agreement(threshold, bands * rows)
+    one = held["i"][0] == held["j"][0]
+    left = np.flatnonzero(own == held["i"][0])
+    right = left if one else np.flatnonzero(own == held["j"][0])
+    found = [(np.zeros(0, np.int64),) * 3]
+    for x in range(0, len(left) if len(right) else 0, 32):
+        part = left[x : x + 32]
+        same = (regs[part][:, None, :] == regs[right][None, :, :]).sum(axis=2)
+        p, q = np.nonzero((same >= least) & (label[part][:, None] != label[right][None, :]))
+        keep = part[p] < right[q] if one else np.ones(len(p), bool)
+        found.append((part[p][keep], right[q][keep], same[p, q][keep]))
+    p, q, count = (np.concatenate(c) for c in zip(*found, strict=True))
+    band = int(np.flatnonzero(keys[0] == held["key"][0])[0])
+    mine = np.concatenate([~(keys[p[k : k + 50_000], :band] == keys[q[k : k + 50_000], :band]).any(axis=1) for k in range(0, len(p), 50_000)]) if len(p) else np.zeros(0, bool)
+    return p[mine], q[mine], count[mine]
+
+
+def in_open_pairs(threshold: float, bands: int, rows: int):
+    """Groups, without texts, to the nodes that open pairs need."""
+
+    def work(held: dict[str, list]) -> list[tuple]:
+        p, q, _ = open_pairs(held, threshold, bands, rows)
+        return [(held["key"][0], held["i"][0], held["j"][0], held["own"][x], held["node"][x]) for x in np.unique(np.concatenate([p, q])).tolist()]
+
+    return grouped([*GROUP, "own", "node", "label", "regs", "keys"], work, [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("node", pa.int64())])
+
+
+def resolved(k: int, threshold: float, bands: int, rows: int):
+    """Groups with texts to links (a, b) that join what had different labels.
+
+    Open pairs are held against each other exactly, likeliest first, unless links found before in the group have
+    already joined their components.
+    """
+
+    def work(held: dict[str, list]) -> list[tuple]:
+        node, label = held["node"], held["label"]
+        p, q, count = open_pairs(held, threshold, bands, rows)
+        sets: dict[int, tuple] = {}
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        def words(x: int) -> tuple:
+            if x not in sets:
+                sets[x] = shingles(hashes((held["text"][x] or "").encode().split()), k)
+            return sets[x]
+
+        out = []
+        for at in np.argsort(-count, kind="stable").tolist():
+            x, y = int(p[at]), int(q[at])
+            u, v = find(label[x]), find(label[y])
+            if u != v and similarity(words(x), words(y)) >= threshold - 1e-9:
+                root[max(u, v)] = min(u, v)
+                out.append((node[x], node[y]))
+        return out
+
+    return grouped([*GROUP, "own", "node", "label", "regs", "keys", "text"], work, [("a", pa.int64()), ("b", pa.int64())])
+
+
+def in_groups(member: DataFrame, block: int) -> DataFrame:
+    """Rows (key, node, label) of buckets with several labels to (key, i, j, own, node, label).
+
+    The nodes of a bucket's commonest label need not meet each other, so they lie in blocks of their own, which meet
+    only the blocks of the rest; these meet each other too. Blocks hold about `block` nodes, and a group is two of them.
+    """
+    per = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    per = per.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / block).cast("int").alias("r"), F.ceil(F.col("top.c") / block).cast("int").alias("m"))
+    dealt = member.join(per, "key").withColumn("is_top", F.col("label") == F.col("top"))
+    draw = F.xxhash64("node", F.lit(5))
+    own = F.when(F.col("is_top"), F.col("r") + F.pmod(draw, F.col("m"))).otherwise(F.pmod(draw, F.col("r"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("is_top"), F.col("r")).otherwise(F.col("r") + F.col("m")) - 1)))
+    return dealt.select("key", F.least("own", "with").cast("int").alias("i"), F.greatest("own", "with").cast("int").alias("j"), "own", "node", "label")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, class_id (smallest doc_id reachable by links), kept.
 
     Two documents are linked if their texts are equal or the probability Jaccard similarity of their shingles of k
     words, weighted by their counts, is at least `threshold`. Equal texts are one node, the smallest doc_id among
-    them. First every node is held against the smallest node of each of its buckets. Nodes that these pairs connect,
-    linked or not, are a family, and all candidates lie in one. Where a family's links leave several components, its
-    nodes meet in pairs of blocks of at most `block` nodes, where what isn't joined yet is compared (see resolved). So
-    no link between components is lost, and no pairs leave a task but the few that join something.
+    them. Nodes that share the key of a band are candidates; those whose registers agree too seldom are left (a pair
+    at the threshold with probability 3e-6). First every node is held against one node of each of its buckets, the one
+    that shares most buckets with most nodes. What this leaves in different components of a bucket meets in it by
+    blocks of about `block` nodes (see in_groups): registers first, then the texts of those that need it. A pair is
+    looked at in the first band that it shares. So no link between components is lost, and no pairs leave a task but
+    those with the bucket's chosen node and the few that join something.
 
     Null and empty texts have no shingles, link with nothing and are classes of their own. Rows that share a doc_id
     are one document; rows without one have no class (null) and are kept.
@@ -228,32 +296,42 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     src = docs.select(text_key().alias("tkey"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = scratch.keep(src.mapInArrow(banded(k, bands, rows), "tkey binary, doc_id long, keys array<long>"), "signatures")
-    nodes = sig.where("size(`keys`) > 0 and doc_id is not null").groupBy("tkey").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    sig = scratch.keep(src.mapInArrow(banded(k, bands, rows), "tkey binary, doc_id long, keys array<long>, regs binary"), "signatures")
+    nodes = sig.where("size(`keys`) > 0 and doc_id is not null").groupBy("tkey").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
     nodes = scratch.keep(nodes, "nodes")
     each = nodes.select("node", F.explode("keys").alias("key"))
-    shared = scratch.keep(each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a"), "shared")
-    pairs = scratch.keep(each.join(shared, "key").where("a < node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    at = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    first = nodes.select("tkey", "node").join(at, "node").withColumnRenamed("tkey", "k_")
-    texts = src.join(first, (F.col("tkey") == F.col("k_")) & (F.col("doc_id") == F.col("node"))).select("node", "text")
-    texts = scratch.keep(texts.dropDuplicates(["node"]), "texts")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = scratch.keep(each.join(shared, "key").select("key", "node", "n"), "member")
+    centre = member.groupBy("node").agg(F.sum("n").alias("w"))
+    most = F.max(F.struct(F.col("w"), (-F.col("node")).alias("z")))
+    chosen = scratch.keep(member.join(centre, "node").groupBy("key").agg((-most["z"]).alias("chosen")), "chosen")
+    pairs = member.join(chosen, "key").where("node <> chosen").select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
+    regs = nodes.select("node", "regs")
+    both = pairs.join(regs.withColumnsRenamed({"node": "a", "regs": "x"}), "a").join(regs.withColumnsRenamed({"node": "b", "regs": "y"}), "b")
+    pairs = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(likely(threshold, bands * rows), "a long, b long"), "pairs")
+    # A node's text is fetched where a pair or a group asks for it.
+    place = nodes.select(F.col("tkey").alias("k_"), "node")
+
+    def texts_of(asked: DataFrame, name: str) -> DataFrame:
+        first = place.join(asked.select("node").distinct(), "node")
+        return scratch.keep(src.join(first, (F.col("tkey") == F.col("k_")) & (F.col("doc_id") == F.col("node"))).select("k_", "node", "text").dropDuplicates(["k_", "node"]), name)
+
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "texts")
     links = scratch.keep(linked(pairs, texts, k, threshold), "links")
     # Rows that share a doc_id are one document though their texts, and so their nodes, may differ.
     same = sig.where("doc_id is not null").join(nodes.select("tkey", "node"), "tkey").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     other = same.join(sig.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("tkey").alias("n")).where("n > 1").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b").distinct()
     links = links.union(other)
     label = components(scratch, links, "round1")
-    family = components(scratch, pairs, "families").withColumnRenamed("label", "family")
-    member = scratch.keep(family.join(label, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label")), "member")
-    mixed = member.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2")
-    mixed = scratch.keep(mixed.select("family", F.ceil(F.col("n") / block).cast("int").alias("parts")), "mixed")
-    dealt = member.join(mixed, "family").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label").join(texts, "node")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").select("family", "i", "j", "own", "node", "label", "text")
-    more = scratch.keep(dealt.mapInArrow(resolved(k, threshold, bands * rows), "a long, b long"), "more")
-    label = components(scratch, links.union(more), "round2")
+    now = member.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    groups = scratch.keep(in_groups(now, block), "groups")
+    order = list(GROUP)
+    known = groups.join(nodes.select("node", "regs", "keys"), "node").where(F.array_contains("keys", F.col("key"))).repartition(*order).sortWithinPartitions(*order, "node")
+    asked = scratch.keep(known.mapInArrow(in_open_pairs(threshold, bands, rows), "key long, i int, j int, own int, node long"), "asked")
+    whole = nodes.select(F.col("tkey").alias("k_"), "node", "regs", "keys").join(texts_of(asked, "asked-texts"), ["k_", "node"])
+    more = asked.join(groups, [*order, "own", "node"]).join(whole, "node").where(F.array_contains("keys", F.col("key")))
+    more = more.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(resolved(k, threshold, bands, rows), "a long, b long")
+    label = components(scratch, links.union(scratch.keep(more, "more")), "round2")
     named = sig.select("tkey", "doc_id").join(nodes.select("tkey", "node"), "tkey", "left").join(label, "node", "left")
     out = named.select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

@@ -187,3 +187,45 @@ def test_components(spark, shape):
     assert got == want
     rounds = len(list(Path(scratch.base.removeprefix("file://")).glob("cc-step*")))
     assert rounds < 20
+
+
+def test_recall_on_documents(spark):
+    """Every pair of whole texts at 0.8 or more, found by brute force over shared shingles, is in one class; and no class holds what no chain of links joins."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: minhash.shingles(hashes((t or "").encode().split())) for i, t in rows}
+    holds: dict = {}
+    for i, (h, _) in sets.items():
+        for x in h.tolist():
+            holds.setdefault(x, []).append(i)
+    pairs = {(a, b) for own in holds.values() for k, a in enumerate(own) for b in own[k + 1 :]}
+    linked = [(a, b) for a, b in pairs if minhash.similarity(sets[a], sets[b]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(linked) > 30 and sum(got[a] == got[b] for a, b in linked) >= 0.999 * len(linked)
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert all(find(i) == find(c) for i, c in got.items())
+
+
+@pytest.mark.parametrize("n", [300])
+def test_chains(spark, n):
+    """Chains of near copies with rising ids, each linked to the next only, are one class."""
+    words = [f"w{i}" for i in range(4 * n + 300)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(n)]
+    got = {r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {0}
+    vecs = []
+    for i in range(n):
+        corner, rest = divmod(0.3 * i, np.pi / 2)
+        v = [0.0] * (n // 5 + 3)
+        v[int(corner)], v[int(corner) + 1] = float(np.cos(rest)), float(np.sin(rest))
+        vecs.append((i, v, 1))
+    got = sorted(map(tuple, embeddings.near_vectors(spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == brute_vectors(vecs) and {r[2] for r in got} == {0}
