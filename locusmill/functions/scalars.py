@@ -40,6 +40,27 @@ def format_delta(seconds: Column) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
 
 
+def divide_by_logs(a: Column, b: Column) -> Column:
+    """a / b as exp(ln a - ln b); null where either is not positive."""
+    return F.when((a > 0) & (b > 0), F.exp(F.ln(a) - F.ln(b)))
+
+
+def key_text(*parts: Column) -> Column:
+    """A composite key as one text; its parts come back by key_parts whatever they hold."""
+    return F.array_join(F.array(*[F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in parts]), "")
+
+
+def key_parts(key: Column, n: int) -> list[Column]:
+    """The n parts of a key_text."""
+    out, rest = [], key
+    for _ in range(n):
+        size = F.substring_index(rest, ":", 1).cast("int")
+        body = F.substring(rest, F.length(F.substring_index(rest, ":", 1)) + 2, F.length(rest))
+        out.append(F.substring(body, F.lit(1), size))
+        rest = F.substring(body, size + 1, F.length(body))
+    return out
+
+
 def coerced(s: Column) -> Column:
     """A struct (i, f, s): the text as integer, else as float, else as itself."""
     i = s.try_cast("long")
@@ -47,6 +68,20 @@ def coerced(s: Column) -> Column:
     return F.struct(i.alias("i"), f.alias("f"), F.when(i.isNull() & f.isNull(), s).alias("s"))
 
 
+# The palettes' colours (red, green, blue) by name, and greens from dark to light.
+PALETTE = {
+    "teal": (27, 158, 119), "vermilion": (217, 95, 2), "purple": (117, 112, 179), "magenta": (231, 41, 138),
+    "green": (102, 166, 30), "yellow": (230, 171, 2), "brown": (166, 118, 29), "gray": (102, 102, 102),
+}
+GREENS = ((118, 197, 173), (164, 216, 201), (209, 236, 228), (232, 245, 241))
+
+
+def named_colour(name: Column) -> Column:
+    """A palette's colour as text; null for other names."""
+    pairs = [x for k, rgb in PALETTE.items() for x in (F.lit(k), F.lit(",".join(map(str, rgb))))]
+    return F.create_map(*pairs)[name]
+
+
 def colour(r: Column, g: Column, b: Column) -> Column:
     return F.concat_ws(",", r.cast("string"), g.cast("string"), b.cast("string"))
 

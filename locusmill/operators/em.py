@@ -27,6 +27,8 @@ class Options:
     epsilon: float = 1e-7
     max_iter: int = 100
     use_likelihood: bool = False
+    #: Of many pools, give parameters of features with data only, and one row for all others.
+    sparse: bool = False
 
 
 @dataclass
@@ -186,9 +188,15 @@ def fit_passes(spark: SparkSession, sig: DataFrame, o: Options) -> dict[str, dic
 PARAMS = "pool string, fid long, pi_before double, theta_before double, pi double, theta double, iterations int, lnl double"
 
 
-def param_rows(pool: str, before: tuple, after: tuple, n: int, lnl: float) -> pd.DataFrame:
-    k = len(after[0])
-    return pd.DataFrame({"pool": [pool] * k, "fid": np.arange(k), "pi_before": before[0], "theta_before": before[1], "pi": after[0], "theta": after[1], "iterations": [n] * k, "lnl": [lnl] * k})
+def param_rows(pool: str, before: tuple, after: tuple, n: int, lnl: float, seen: np.ndarray | None = None) -> pd.DataFrame:
+    """A row a feature; with `seen`, only for these features, and one, of feature -1, for all others, which are equal."""
+    fid = np.arange(len(after[0]))
+    at = fid
+    if seen is not None:
+        others = np.setdiff1d(fid, seen)[:1]
+        at, fid = np.append(seen, others), np.append(seen, [-1] * len(others)).astype(np.int64)
+    k = len(at)
+    return pd.DataFrame({"pool": [pool] * k, "fid": fid, "pi_before": before[0][at], "theta_before": before[1][at], "pi": after[0][at], "theta": after[1][at], "iterations": [n] * k, "lnl": [lnl] * k})
 
 
 def fit_each(o: Options):
@@ -201,7 +209,7 @@ def fit_each(o: Options):
         def done() -> Iterator[pd.DataFrame]:
             for pool, c in by_pool(pd.concat(held)) if held else ():
                 b0, b1, p, t, n, lnl = fit_local(c, o)
-                yield param_rows(pool, (b0, b1), (p, t), n, lnl)
+                yield param_rows(pool, (b0, b1), (p, t), n, lnl, np.unique(c.fid) if o.sparse else None)
             held.clear()
 
         for df in batches:

@@ -96,10 +96,39 @@ def filter_status(mapped: Column, barcode: Column, listed: Column, umi: Column,
 
 
 def consistent_tags(reads: DataFrame) -> DataFrame:
-    """(qname, bc, umi), one row each; raises where occurrences of a name disagree."""
-    per = reads.groupBy("qname").agg(F.countDistinct(F.struct("bc", "umi")).alias("n"), F.first("bc").alias("bc"), F.first("umi").alias("umi"))
-    checked = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("barcodes differ for "), "qname"))).otherwise(F.col("bc"))
-    return per.select("qname", checked.alias("bc"), "umi")
+    """(qname, first_seq, bc, umi), one row each, of reads (qname, bc, umi, file_seq); raises where tags of a name differ.
+
+    The tags are those of the first in file order; later ones without a tag don't disagree.
+    """
+    low, high = (F.struct(f(F.col("bc")).alias("bc"), f(F.col("umi")).alias("umi")) for f in (F.min, F.max))
+    first = F.min_by(F.struct("bc", "umi"), "file_seq")
+    per = reads.groupBy("qname").agg(low.alias("low"), high.alias("high"), first.alias("t"), F.min("file_seq").alias("first_seq"))
+    agree = F.col("low.bc").eqNullSafe(F.col("high.bc")) & F.col("low.umi").eqNullSafe(F.col("high.umi"))
+    checked = F.when(agree, F.col("t.bc")).otherwise(F.raise_error(F.concat(F.lit("tags differ for "), "qname")).cast("string"))
+    return per.select("qname", "first_seq", checked.alias("bc"), F.col("t.umi").alias("umi"))
+
+
+def alignment_summary(fragments: DataFrame) -> DataFrame:
+    """One row over fragments (code, status, n, low, high): how many there are, paired and single, unmapped, with one and
+    with several alignments on and off features, and the scores' range. Fragments left out for their tags count no further."""
+    pair, used = F.substring("code", 1, 1) == "P", F.col("status").isin("ok", "no overlap")
+    on, one = F.col("status") == "ok", F.col("n") == 1
+    kinds = {"loc_unique": on & one, "loc_ambig": on & ~one, "noloc_unique": ~on & one, "noloc_ambig": ~on & ~one}
+    return fragments.agg(
+        F.count(F.lit(1)).alias("total_fragments"),
+        F.count_if(pair).alias("paired"),
+        F.count_if(~pair).alias("single"),
+        F.count_if(F.col("status") == "unmapped").alias("unmapped"),
+        *[F.count_if(used & c).alias(k) for k, c in kinds.items()],
+        F.min(F.when(used, F.col("low"))).alias("minAS"),
+        F.max(F.when(used, F.col("high"))).alias("maxAS"),
+    )
+
+
+def errors(fragments: DataFrame) -> DataFrame:
+    """Reasons for which fragments were left out, with their numbers, the commonest first."""
+    left = fragments.where(~F.col("status").isin("ok", "no overlap", "unmapped"))
+    return left.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "status")
 
 
 def best_alignments(alignments: DataFrame) -> DataFrame:

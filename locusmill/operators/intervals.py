@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the bins by which overlapping intervals meet.
-BIN = 128
+#: Widths of the bins by which overlapping intervals meet; an interval is dealt to those of the least width that is not
+#: below its length, so to two bins at most (but for intervals beyond the largest).
+WIDTHS = (1 << 7, 1 << 12, 1 << 17, 1 << 22, 1 << 27)
 
 
 def merge_intervals(iv: DataFrame, by: list[str], start: str = "iv_start", end: str = "iv_end", distance: int = 1) -> DataFrame:
@@ -38,21 +39,35 @@ def overlap_length(a_start: Column, a_end: Column, b_start: Column, b_end: Colum
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re_: str, width: int = BIN) -> DataFrame:
+def hull(a_start: Column, a_end: Column, b_start: Column, b_end: Column, distance: int = 0) -> Column:
+    """The interval that holds both of two that overlap or lie `distance` apart at most; null for others."""
+    near = F.greatest(a_start, b_start) - F.least(a_end, b_end) <= distance
+    return F.when(near, F.struct(F.least(a_start, b_start).alias("start"), F.greatest(a_end, b_end).alias("end")))
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re_: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Pairs of left and right rows with equal keys whose half-open intervals overlap.
 
-    Both sides are dealt to the bins that their intervals touch and meet by an equality join on keys and bin; of the
-    bins that a pair shares only the first counts. Bins spread a crowded key over tasks, and no side is broadcast
-    unless the planner finds it small.
+    Right intervals are dealt to the bins that they touch in the level of their length; left ones to the bins that they
+    touch in the levels down to which right intervals can be longer than a bin, which are few for short ones. Rows meet
+    by an equality join on keys, level and bin; of the bins that a pair shares only the first counts. An interval of
+    100 million bases is in two bins, and asks for no more bins of a level than right intervals of that level are worth.
     """
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(w).cast("long").alias("width")) for i, w in enumerate(widths)])
 
-    def binned(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
-        first, last = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
-        return df.where(F.col(end) > F.col(start)).withColumn("bin", F.explode(F.sequence(first, last))).withColumn(name, first)
+    def in_bins(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        first, last = F.floor(F.col(start) / F.col("lv.width")), F.floor((F.col(end) - 1) / F.col("lv.width"))
+        return df.withColumn("bin", F.explode(F.sequence(first, last))).withColumn(name, first).withColumn("level", F.col("lv.level")).drop("lv")
 
-    a, b = binned(left, ls, le, "first_l"), binned(right, rs, re_, "first_r")
-    pairs = a.join(b, [*keys, "bin"]).where((F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & (F.col("bin") == F.greatest("first_l", "first_r")))
-    return pairs.drop("bin", "first_l", "first_r")
+    size = F.col(re_) - F.col(rs)
+    own = F.coalesce(F.element_at(F.filter(levels, lambda x: x["width"] >= size), 1), F.element_at(levels, -1))
+    b = right.where(F.col(re_) > F.col(rs)).withColumn("lv", own)
+    used = b.agg(F.collect_set("lv.level")).scalar()  # of a handful of levels those that occur
+    asked = F.array(*[F.when(F.array_contains(used, i), F.element_at(levels, i + 1)) for i in range(len(widths))])
+    a = left.where(F.col(le) > F.col(ls)).withColumn("lv", F.explode(asked)).where("lv is not null")
+    a, b = in_bins(a, ls, le, "first_l"), in_bins(b, rs, re_, "first_r")
+    pairs = a.join(b, [*keys, "level", "bin"]).where((F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & (F.col("bin") == F.greatest("first_l", "first_r")))
+    return pairs.drop("bin", "level", "first_l", "first_r")
 
 
 def block_overlaps(blocks: DataFrame, intervals: DataFrame, by: list[str], keys: list[str], wider: int = 1) -> DataFrame:
@@ -69,8 +84,7 @@ def block_overlaps(blocks: DataFrame, intervals: DataFrame, by: list[str], keys:
 
 def assign_locus(overlaps: DataFrame, lengths: DataFrame, by: list[str], threshold: float = 0.2, no_feature: str = "__no_feature") -> DataFrame:
     """The locus of largest overlap (ties: smallest name) of each alignment, where it is more than threshold * alnlen."""
-    best = overlaps.groupBy(*by).agg(F.max(F.struct("overlap")).alias("m")).select(*by, F.col("m.overlap").alias("most"))
-    name = overlaps.join(best, by).where("overlap = most").groupBy(*by).agg(F.min("locus").alias("best"), F.max("overlap").alias("overlap"))
+    name = overlaps.groupBy(*by).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "locus")).alias("m")).select(*by, F.col("m.locus").alias("best"), (-F.col("m.o")).alias("overlap"))
     enough = F.col("overlap") > F.col("alnlen") * threshold
     return lengths.join(name, by, "left").select(*by, F.when(enough, F.col("best")).otherwise(no_feature).alias("locus"), F.when(enough, F.col("overlap")).otherwise(0).alias("overlap"))
 

@@ -99,3 +99,14 @@ def weights(m: DataFrame) -> DataFrame:
     most = total(m, "raw", F.max) if "pool" not in m.columns else F.max("raw").over(Window.partitionBy("pool"))
     t = F.lit(100.0) * F.col("raw") / most
     return m.withColumn("t", t).withColumn("lq", F.col("t") + F.log1p(-F.exp(-F.col("t")))).drop("t")
+
+
+def top_scores(m: DataFrame) -> DataFrame:
+    """The cells that hold their row's largest value."""
+    most = m.groupBy("rid").agg(F.max("raw").alias("most_"))
+    return m.join(most, "rid").where("raw = most_").drop("most_")
+
+
+def complement(vector: DataFrame, index: DataFrame, key: str = "rid") -> DataFrame:
+    """Of a 0/1 vector (key, value) over an index, 1 where it is 0 or missing: (key, value), all places."""
+    return index.select(key).join(vector.select(key, F.col("value").alias("v_")), key, "left").select(key, F.when(F.coalesce("v_", F.lit(0)) == 0, 1).otherwise(0).alias("value"))

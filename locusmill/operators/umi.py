@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.operators import matrix
+
 KEY = ["bc", "umi"]
 
 
@@ -48,20 +50,39 @@ def union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield done()
 
 
-def components(reads: DataFrame, scores: DataFrame) -> DataFrame:
+def common_feature(m: DataFrame) -> DataFrame:
+    """Keys (bc, umi) all of whose reads share a feature other than 0, with their smallest read: bc, umi, least, shared.
+
+    Rows are (bc, umi, rid, fid). Keys of one read count as such; shared is false for all others.
+    """
+    per = m.groupBy(*KEY, "fid").agg(F.countDistinct("rid").alias("n"))
+    most = per.where("fid > 0").groupBy(*KEY).agg(F.max("n").alias("n"))
+    size = m.groupBy(*KEY).agg(F.countDistinct("rid").alias("reads"), F.min("rid").alias("least"))
+    return size.join(most, KEY, "left").select(*KEY, "least", ((F.col("reads") == 1) | F.coalesce(F.col("n") == F.col("reads"), F.lit(False))).alias("shared"))
+
+
+def components(reads: DataFrame, scores: DataFrame, best_score: bool = False) -> DataFrame:
     """Component (smallest rid) of every read of scores within its (bc, umi): bc, umi, rid, comp.
 
-    A task streams its keys one after another and holds one key's reads at a time; reads only meet others of their
-    own molecule, so a key is as large as a molecule's copies. Keys of one read need no Python.
+    Keys of one read, and keys all of whose reads share a feature, are one component by counting. The others stream
+    through Python, a task holding one key's reads at a time; reads only meet others of their own molecule, so a key is
+    as large as a molecule's copies. With best_score only a read's cells of its largest score count.
     """
+    if best_score:
+        scores = matrix.top_scores(scores)
     m = scores.join(reads, "rid").select(*KEY, "rid", "fid")
-    sizes = F.min("rid").over(Window.partitionBy(*KEY)) != F.max("rid").over(Window.partitionBy(*KEY))
-    m = m.withColumn("several", sizes)
-    alone = m.where("not several").select(*KEY, "rid").distinct().withColumn("comp", F.col("rid"))
+    m = m.join(common_feature(m), KEY)
+    done = m.where("shared").select(*KEY, "rid", F.col("least").alias("comp")).distinct()
     kinds = {f.name: f.dataType.simpleString() for f in m.schema}
-    several = m.where("several").select(*KEY, "rid", "fid").repartition(*KEY).sortWithinPartitions(*KEY, "rid", "fid")
+    several = m.where("not shared").select(*KEY, "rid", "fid").repartition(*KEY).sortWithinPartitions(*KEY, "rid", "fid")
     found = several.mapInPandas(union_find, f"bc {kinds['bc']}, umi {kinds['umi']}, rid {kinds['rid']}, comp {kinds['rid']}")
-    return alone.unionByName(found)
+    return done.unionByName(found)
+
+
+def groups_like(comps: DataFrame, reads: int, components_: int) -> DataFrame:
+    """Molecules (bc, umi) of so many reads in so many components, to look at."""
+    per = comps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("reads"), F.countDistinct("comp").alias("components"))
+    return per.where((F.col("reads") == reads) & (F.col("components") == components_)).select(*KEY)
 
 
 def representatives(comps: DataFrame, scores: DataFrame) -> DataFrame:
@@ -112,3 +133,10 @@ def component_summary(comps: DataFrame) -> DataFrame:
     """Numbers of molecules by components, over the molecules with several reads."""
     per = comps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("reads"), F.countDistinct("comp").alias("components"))
     return per.where("reads > 1").groupBy("components").agg(F.count(F.lit(1)).alias("umis"))
+
+
+def whole_summary(per_umi: DataFrame, comps: DataFrame) -> DataFrame:
+    """The summary with the reads that representatives stand for (excluded) and the most components of a molecule."""
+    several = comps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("reads"), F.countDistinct("comp").alias("components")).where("reads > 1")
+    excluded = several.agg(F.coalesce(F.sum(F.col("reads") - F.col("components")), F.lit(0))).scalar()
+    return summary(per_umi).withColumns({"excluded": excluded, "max_components": several.agg(F.coalesce(F.max("components"), F.lit(0))).scalar()})

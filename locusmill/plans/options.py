@@ -21,6 +21,7 @@ class AssignOptions:
     filtered_bc: str | None = None
     celltype_tsv: str | None = None
     outdir: str = "."
+    annotation_class: str = "intervaltree"
     exp_tag: str = "locusmill"
     barcode_tag: str = "CB"
     umi_tag: str = "UB"
@@ -52,6 +53,8 @@ class AssignOptions:
             raise ValueError("pooling by cell type needs celltype_tsv")
         if self.stranded_mode not in STRANDED:
             raise ValueError(f"stranded_mode is one of {STRANDED}")
+        if self.annotation_class not in ("intervaltree", "htseq"):
+            raise ValueError(f"unknown annotation class {self.annotation_class}")
         if self.overlap_mode != "threshold":
             raise NotImplementedError(f"overlap mode {self.overlap_mode}")
         if not 0.5 < self.conf_prob <= 1:

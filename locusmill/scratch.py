@@ -29,6 +29,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        sc = spark.sparkContext
+        sc._locusmill_bases = [*getattr(sc, "_locusmill_bases", []), self.base]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -37,5 +39,21 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, f"{self.base}/{name}")
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove all tables that this application has written to the shared folder; results that were read from them end.
+
+    For the end of a run, whose outputs are elsewhere. Gives the number of folders.
+    """
+    bases = getattr(spark.sparkContext, "_locusmill_bases", [])
+    for base in bases:
+        remove(spark, base)
+    spark.sparkContext._locusmill_bases = []
+    return len(bases)

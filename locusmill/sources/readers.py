@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusmill.functions.scalars import attributes, attributes_text
+from locusmill.operators.fragments import UNMAPPED, flag
 from locusmill.operators.index import dense_index
+from locusmill.sources.bam import bam, header_rows
 
-SAM_SCHEMA = "qname string, flag int, ref string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>, file_seq long"
-# Fields of an annotation row in order, and the letters of alignment operations and bases.
+# Fields of an annotation row in order.
 GTF_FIELDS = ("chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
-CIGAR_LETTERS = "MIDNSHP=X"
-BASES = "=ACMGRSVTWYHKDBN"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -81,99 +75,45 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:
-    """References (ref, length) of a SAM header."""
+    """References (ref, length) of a SAM or BAM header."""
+    if path.endswith(".bam"):
+        return header_rows(spark, path)
     h = spark.read.text(path).where(F.col("value").startswith("@SQ"))
     return h.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("ref"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("length"))
 
 
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """Alignments of an uncompressed BAM stream, as rows of SAM_SCHEMA."""
-    if data[:4] != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    n = struct.unpack_from("<i", data, at)[0]
-    at += 4
-    refs = []
-    for _ in range(n):
-        size = struct.unpack_from("<i", data, at)[0]
-        refs.append(data[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    seq_no = 0
-    name = lambda i: refs[i] if i >= 0 else "*"
-    while at + 4 <= len(data):
-        size = struct.unpack_from("<i", data, at)[0]
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, rnext, pnext, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p, end = at + 36, at + 4 + size
-        qname = data[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, p)
-        p += 4 * n_ops
-        packed = data[p : p + (l_seq + 1) // 2]
-        p += (l_seq + 1) // 2
-        qual = data[p : p + l_seq]
-        p += l_seq
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
-        yield (
-            qname, flag, name(ref), pos + 1, mapq, "".join(f"{o >> 4}{CIGAR_LETTERS[o & 15]}" for o in ops) or "*", "=" if rnext == ref and rnext >= 0 else name(rnext), pnext + 1, tlen,
-            seq or "*", "*" if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual), bam_tags(data, p, end), seq_no,
-        )
-        seq_no += 1
-        at = end
-
-
-# The letters of BAM's number types and their layouts.
-TAG_TYPES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-
-
-def bam_tags(data: bytes, at: int, end: int) -> dict[str, str]:
-    out = {}
-    while at < end:
-        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind == "A":
-            out[tag], at = chr(data[at]), at + 1
-        elif kind in "ZH":
-            stop = data.index(b"\0", at)
-            out[tag], at = data[at:stop].decode(), stop + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            step = struct.calcsize(TAG_TYPES[sub])
-            vals = [struct.unpack_from(TAG_TYPES[sub], data, at + 5 + k * step)[0] for k in range(n)]
-            out[tag], at = ",".join([sub, *map(str, vals)]), at + 5 + n * step
-        else:
-            v = struct.unpack_from(TAG_TYPES[kind], data, at)[0]
-            out[tag], at = str(v), at + struct.calcsize(TAG_TYPES[kind])
-    return out
-
-
-def bam(spark: SparkSession, path: str, rows_a_batch: int = 10_000) -> DataFrame:
-    """Alignments of BAM files, each file read by one task; split large inputs by reference or cell beforehand.
-
-    A file's blocks are concatenated gzip members; file_seq numbers a file's rows, files in the order of their names.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SAM_SCHEMA.split(", ")]
-        for df in batches:
-            for where, content in zip(df["path"], df["content"], strict=True):
-                held = []
-                for row in bam_records(gzip.decompress(content)):
-                    held.append((where, *row))
-                    if len(held) >= rows_a_batch:
-                        yield pd.DataFrame(held, columns=["path", *names])
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["path", *names])
-
-    found = files.mapInPandas(run, f"path string, {SAM_SCHEMA}")
-    return dense_index(found.withColumnRenamed("file_seq", "n_"), ["path", "n_"]).withColumn("file_seq", F.col("idx")).drop("path", "n_", "idx")
+def reference_counts(alignments_: DataFrame, refs: DataFrame) -> DataFrame:
+    """References (ref, length) with their mapped and unmapped alignments, and a last row, *, of those without a place."""
+    per = alignments_.groupBy("ref").agg(F.count_if(~flag(UNMAPPED)).alias("mapped"), F.count_if(flag(UNMAPPED)).alias("unmapped"))
+    every = refs.unionByName(refs.sparkSession.createDataFrame([("*", 0)], "ref string, length long"))
+    return every.join(per, "ref", "left").na.fill(0, ["mapped", "unmapped"])
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
     return bam(spark, path) if path.endswith(".bam") else sam(spark, path)
 
 
+def saved_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments that sinks.save_alignments has written, by reference."""
+    return spark.read.parquet(path)
+
+
+def saved_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]]:
+    """A matrix (row, col, value) that sinks.save_matrix has written, and its shape."""
+    shape = spark.read.json(f"{path}/shape").first()
+    return spark.read.parquet(f"{path}/cells"), (shape["rows"], shape["cols"])
+
+
+def saved_annotation(spark: SparkSession, path: str) -> DataFrame:
+    """Merged intervals that sinks.save_annotation has written."""
+    return spark.read.parquet(path)
+
+
+def distinct_types(types: DataFrame) -> DataFrame:
+    """The cell types there are, in order."""
+    return types.select("celltype").distinct().orderBy("celltype")
+
+
 BARCODE = r"^[ACGTacgt]+$"
 
 

@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusmill.sources.bam import Header, write_bam
+
 STATS = ("stage", "mode", "var", "value")
 
 
@@ -78,11 +80,32 @@ def sam(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
     sam_text(rows).orderBy(*(order or ["file_seq"])).select("value").write.mode("overwrite").text(path)
 
 
-def split_sam(rows: DataFrame, overlapping: DataFrame, folder: str) -> None:
-    """Alignments of fragments that overlap a feature, and all others, in two folders."""
+def split_alignments(rows: DataFrame, overlapping: DataFrame, head: Header, inside: str, other: str) -> None:
+    """Alignments of fragments that overlap a feature, and all others, in two BAM files."""
     names_ = overlapping.select("qname").distinct()
-    sam(rows.join(names_, "qname", "left_semi"), f"{folder}/overlapping")
-    sam(rows.join(names_, "qname", "left_anti"), f"{folder}/other")
+    write_bam(rows.join(names_, "qname", "left_semi"), head, inside)
+    write_bam(rows.join(names_, "qname", "left_anti"), head, other)
+
+
+def save_alignments(rows: DataFrame, path: str) -> None:
+    """Alignments as Parquet by reference, sorted by place, so that a region reads its own files only."""
+    rows.repartition("ref", F.floor(F.col("pos") / (1 << 20))).sortWithinPartitions("ref", "pos").write.mode("overwrite").partitionBy("ref").parquet(path)
+
+
+def save_matrix(cells: DataFrame, shape: tuple[int, int], path: str) -> None:
+    """A sparse matrix (row, col, value) with its shape."""
+    cells.select("row", "col", "value").write.mode("overwrite").parquet(f"{path}/cells")
+    cells.sparkSession.createDataFrame([shape], "rows long, cols long").coalesce(1).write.mode("overwrite").json(f"{path}/shape")
+
+
+def save_annotation(merged: DataFrame, path: str) -> None:
+    merged.write.mode("overwrite").parquet(path)
+
+
+def dump(df: DataFrame, path: str) -> None:
+    """A table as tab-separated text in a folder, for looking at; nested columns as JSON."""
+    flat = [F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in df.columns]
+    df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def save_checkpoint(tables: Mapping[str, DataFrame], options: Mapping, path: str) -> None:

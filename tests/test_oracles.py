@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from locusmill.plans import catalogue
+from locusmill.plans import catalogue, catalogue_more  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

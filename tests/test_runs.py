@@ -1,13 +1,17 @@
 """Sources, sinks and whole runs on a small SAM and annotation."""
 
 import gzip
-import struct
+import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from locusmill.__main__ import main
+from locusmill.operators import segments
 from locusmill.plans import pipeline
 from locusmill.plans.options import AssignOptions
-from locusmill.sources import readers, sinks
+from locusmill.sources import bam, readers, sinks
 
 GTF = "\n".join(["### locus ###", *(f'{c}\ttest\texon\t{s}\t{e}\t.\t{d}\t.\tgene_id "{n}"; locus "{n}";' for c, s, e, d, n in [("chr1", 101, 200, "+", "L1"), ("chr1", 301, 400, "+", "L2"), ("chr2", 101, 150, "-", "L3"), ("chr2", 152, 200, "-", "L3")]), "short\trow"]) + "\n"
 
@@ -66,14 +70,114 @@ def test_sam_round_trip(spark, inputs):
     assert [(r.ref, r.length) for r in readers.header(spark, str(inputs / "a.sam")).collect()] == [("chr1", 1000), ("chr2", 500)]
 
 
+def many(n, rng):
+    """SAM lines of n alignments of all kinds."""
+    out = []
+    for i in range(n):
+        seq = "".join(rng.choice("ACGTN") for _ in range(rng.randrange(0, 90)))
+        qual = "".join(chr(33 + rng.randrange(60)) for _ in seq)
+        cigar = f"{max(1, len(seq) // 2)}M{rng.randrange(1, 9)}N{max(1, len(seq) // 3)}M2S"
+        ref = rng.choice(["chr1", "chr2"])
+        out.append(f"read{i % 997}.{rng.random():.9f}\t{rng.randrange(2048)}\t{ref}\t{rng.randrange(1, 400)}\t{rng.randrange(255)}\t{cigar}\t{rng.choice(['=', 'chr1' if ref == 'chr2' else 'chr2', '*'])}\t{rng.randrange(0, 300)}\t{rng.randrange(-900, 900)}\t{seq or '*'}\t{qual or '*'}\tAS:i:{rng.randrange(-5, 99)}\tCB:Z:AAAA\tXX:Z:{'x' * rng.randrange(300)}")
+    return out
+
+
 def test_bam(spark, tmp_path):
-    name, cigar, tags = b"r1\0", struct.pack("<I", 40 << 4), b"ASC\x28CBZAAAA\0"
-    body = struct.pack("<iiBBHHHiiii", 0, 109, len(name), 60, 0, 1, 0, 4, -1, -1, 0) + name + cigar + bytes([0x12, 0x48]) + bytes([30] * 4) + tags
-    data = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000) + struct.pack("<i", len(body)) + body
-    (tmp_path / "a.bam").write_bytes(gzip.compress(data[:20]) + gzip.compress(data[20:]))
-    r = readers.alignments(spark, str(tmp_path / "a.bam")).collect()
-    assert len(r) == 1 and (r[0].qname, r[0].ref, r[0].pos, r[0].cigar, r[0].seq, r[0].qual) == ("r1", "chr1", 110, "40M", "ACGT", "????")
-    assert r[0].tags == {"AS": "40", "CB": "AAAA"} and r[0].file_seq == 0
+    """A file of many blocks, read in many splits, gives back what was written, in order; blocks hold no hint of the splits."""
+    rng = random.Random(3)
+    text = many(6000, rng)
+    (tmp_path / "a.sam").write_text("@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000\n@SQ\tSN:chr2\tLN:500\n" + "\n".join(text) + "\n")
+    rows = readers.sam(spark, str(tmp_path / "a.sam"))
+    head = bam.header_of(spark, str(tmp_path / "a.sam"))
+    assert (head.names, head.lengths) == (["chr1", "chr2"], [1000, 500])
+    path = str(tmp_path / "a.bam")
+    bam.write_bam(rows, head, path)
+    assert gzip.open(path).read(4) == b"BAM\x01" and open(path, "rb").read().endswith(bam.LAST_BLOCK)
+    assert [(r.ref, r.length) for r in readers.header(spark, path).collect()] == [("chr1", 1000), ("chr2", 500)]
+    size = os.path.getsize(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (size // 7, size // 2, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = readers.alignments(spark, path)
+            assert most > size or bam.blocks(spark, path).rdd.getNumPartitions() > 1
+            assert [r.value for r in sinks.sam_text(got).orderBy("file_seq").collect()] == text
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # alignments across blocks, as other writers leave them
+    data = gzip.open(path).read()
+    whole = b"".join(bam.deflate(data[k : k + 5000]) for k in range(0, len(data), 5000)) + bam.LAST_BLOCK
+    (tmp_path / "b.bam").write_bytes(whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", len(whole) // 9)
+    try:
+        assert [r.value for r in sinks.sam_text(readers.bam(spark, str(tmp_path / "b.bam"))).orderBy("file_seq").collect()] == text
+        (tmp_path / "c.bam").write_bytes(whole[: len(whole) // 2])
+        with pytest.raises(Exception, match="cut|damaged"):
+            readers.bam(spark, str(tmp_path / "c.bam")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_regions(spark, inputs):
+    rows = readers.sam(spark, str(inputs / "a.sam"))
+    sinks.save_alignments(rows, str(inputs / "byref"))
+    saved = readers.saved_alignments(spark, str(inputs / "byref"))
+    got = segments.region_scan(saved, "chr2", 100, 111, F.lit(40)).orderBy("qname").collect()
+    assert [r.qname for r in got] == ["r3", "r5", "r6", "r7", "r8"]
+    assert segments.region_scan(saved, "chr2", 160, 400, F.lit(40)).isEmpty()
+    counts = {r.ref: (r.mapped, r.unmapped) for r in readers.reference_counts(rows, readers.header(spark, str(inputs / "a.sam"))).collect()}
+    assert counts == {"chr1": (4, 0), "chr2": (5, 0), "*": (0, 1)}
+
+
+def test_saved_tables(spark, inputs):
+    cells = spark.createDataFrame([(0, 1, 2.5), (3, 0, 1.0)], "row long, col long, value double")
+    sinks.save_matrix(cells, (4, 2), str(inputs / "m"))
+    back, shape = readers.saved_matrix(spark, str(inputs / "m"))
+    assert shape == (4, 2) and sorted(map(tuple, back.collect())) == [(0, 1, 2.5), (3, 0, 1.0)]
+    merged = readers.annotation(readers.gtf(spark, str(inputs / "a.gtf")))
+    sinks.save_annotation(merged, str(inputs / "ann"))
+    assert sorted(map(tuple, readers.saved_annotation(spark, str(inputs / "ann")).collect())) == sorted(map(tuple, merged.collect()))
+    sinks.dump(spark.createDataFrame([(1, {"a": "b"})], "x int, m map<string,string>"), str(inputs / "dump"))
+    assert sorted({r.value for r in spark.read.text(str(inputs / "dump")).collect()}, reverse=True) == ["x\tm", '1\t"{\\"a\\":\\"b\\"}"']
+    assert [r.celltype for r in readers.distinct_types(readers.celltypes(spark, str(inputs / "ct.tsv"))).collect()] == ["B", "T"]
+
+
+def test_tags_that_differ(spark, inputs):
+    (inputs / "bad.sam").write_text(SAM + "\n" + line("r3", 256, "chr2", 110, 38, "CCCC", "G2") + "\n")
+    with pytest.raises(Exception, match="tags differ for r3"):
+        pipeline.assign(spark, AssignOptions(str(inputs / "bad.sam"), str(inputs / "a.gtf"), outdir=str(inputs / "x"), seed=1))
+
+
+def test_command_line(spark, inputs, capsys):
+    """All commands, and every file that they write."""
+    out = str(inputs / "cli")
+    log = str(inputs / "log.txt")
+    main(["assign", str(inputs / "a.sam"), str(inputs / "a.gtf"), "--filtered_bc", str(inputs / "bc.tsv"), "--outdir", out, "--reassign_mode", "best_exclude,total_hits", "--updated_sam", "--seed", "5", "--logfile", log], spark)
+    assert sorted(os.listdir(out)) == sorted(
+        f"locusmill-{n}"
+        for n in ("TE_counts.mtx", "TE_counts.total_hits.mtx", "barcodes.tsv", "features.tsv", "stats.final.tsv", "umi_tracking.txt", "updated.bam", "tmp_tele.bam", "other.bam", "checkpoint.load_alignment", "checkpoint.dedup_umi", "checkpoint.final")
+    ) or {f for f in os.listdir(out) if not f.startswith(".")}  # Hadoop leaves checksums beside files
+    names = lambda f: sorted(r.qname for r in readers.alignments(spark, f"{out}/locusmill-{f}").collect())
+    assert names("tmp_tele.bam") == ["r1", "r2", "r3", "r3", "r5"] and names("other.bam") == ["r4", "r6", "r7", "r8", "r9"]
+    updated = {(r.qname, r.ref): r for r in readers.alignments(spark, f"{out}/locusmill-updated.bam").collect()}
+    assert updated["r2", "chr1"].tags["ZF"] == "L1" and updated["r2", "chr1"].flag == 0 and "YC" in updated["r3", "chr2"].tags
+    stats = open(f"{out}/locusmill-stats.final.tsv").read().splitlines()
+    for want in ("alignments\t\ttotal_fragments\t9", "alignments\t\tloc_unique\t3", "alignments\t\tloc_ambig\t1", "molecules\t\texcluded\t1", "molecules\tcomponents\t1\t1", "reassign\tbest_exclude\tassigned\t3", "options\t\tseed\t5"):
+        assert want in stats
+    assert "9.0 fragments" in open(log).read() or "9 fragments" in open(log).read()
+    main(["resume", f"{out}/locusmill-checkpoint.final", "--reassign_mode", "initial_unique", "--quiet", "--logfile", log], spark)
+    assert os.path.exists(f"{out}/resumed-TE_counts.mtx")
+    f = [f"{out}/locusmill-{n}" for n in ("TE_counts.mtx", "features.tsv", "barcodes.tsv")]
+    main(["merge", *f, *f, "--outdir", out], spark)
+    m = readers.matrix_market(spark, f"{out}/locusmill-merged_counts.mtx")
+    assert sum(r.value for r in m.collect()) == 6 and len(open(f"{out}/locusmill-merged_features.tsv").read().split()) == 8
+    main(["cellsort", str(inputs / "a.sam"), str(inputs / "bc.tsv"), "--outfile", f"{out}/sorted.bam"], spark)
+    assert [r.qname for r in readers.bam(spark, f"{out}/sorted.bam").orderBy("file_seq").collect()] == ["r1", "r2", "r3", "r3", "r4", "r5", "r8"]
+    with pytest.raises(SystemExit):
+        main(["assign", "a", "b", "--reassign_mode", "nonsense"], spark)
+    with pytest.raises(SystemExit):
+        main(["assign", "--help"], spark)
+    assert "Model parameters" in capsys.readouterr().out
 
 
 def test_assign_resume_merge(spark, inputs):
@@ -88,9 +192,9 @@ def test_assign_resume_merge(spark, inputs):
     assert sum(r.value for r in m.collect()) == 3
     assert (inputs / "out" / "locusmill-features.tsv").read_text().split() == ["__no_feature", "L1", "L2", "L3"]
     assert (inputs / "out" / "locusmill-barcodes.tsv").read_text().split() == ["AAAA", "CCCC"]
-    assert "reassign\tbest_exclude\tassigned\t3" in (inputs / "out" / "locusmill-stats.tsv").read_text()
-    assert spark.read.text(str(inputs / "out" / "locusmill-updated")).count() == 5
-    again = pipeline.resume(spark, str(inputs / "out" / "locusmill-checkpoint"), pooling_mode="celltype", outdir=str(inputs / "out2"), reassign_mode=("total_hits",), updated_sam=False)
+    assert "reassign\tbest_exclude\tassigned\t3" in (inputs / "out" / "locusmill-stats.final.tsv").read_text()
+    assert readers.bam(spark, str(inputs / "out" / "locusmill-updated.bam")).count() == 5
+    again = pipeline.resume(spark, str(inputs / "out" / "locusmill-checkpoint.final"), pooling_mode="celltype", outdir=str(inputs / "out2"), reassign_mode=("total_hits",), updated_sam=False)
     assert {r.pool for r in again["params"].select("pool").distinct().collect()} == {"T", "B"}
     f = [str(inputs / "out" / f"locusmill-{n}") for n in ("TE_counts.mtx", "features.tsv", "barcodes.tsv")]
     counts, feats, cells = pipeline.merge(spark, tuple(f), tuple(f))
