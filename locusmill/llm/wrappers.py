@@ -19,7 +19,7 @@ from locusmill.llm.common import Scratch
 
 # The names of HTML elements by their part in a page.
 BLOCKS = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul noscript".split())
-RAW = frozenset("script style textarea title svg iframe template object canvas audio video select button math".split())
+RAW = frozenset("script style textarea title svg iframe template canvas audio video select button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article section div body".split())
@@ -34,8 +34,14 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: Items of two child lists above which a wrapper gives up their order, not what it knows of them; above FEW they are aligned by rows.
 MOST_ORDERED, FEW_ITEMS = 4096, 60
-#: Pages after which text that never changes counts as the host's own.
-CONSTANT_PAGES = 10
+#: Smallest hashes that a slot keeps, to tell how many different texts it holds.
+SKETCH = 32
+#: A slot whose texts recur so often over different pages (distinct texts a text on a page) is the host's own; a block or
+#: slot of which so many characters are links leads elsewhere.
+OWN, LINKS = 0.1, 0.6
+#: Share of the text that changes from page to page which a block must hold for the article to be looked for inside it.
+SHARE = 0.5
+LEAF = re.compile(r"(p|h[1-6]|li|td|th|pre|blockquote|dt|dd|ul|ol|table|dl|figure)\b")
 
 
 @dataclass
@@ -151,14 +157,34 @@ def parse(source: str) -> Node:
 ANY = "(...)"
 
 # Wrappers. An item is a dictionary: k its key ("#" for a text slot, "(...)" for a group), q its quantifier (1, "?",
-# "+" or "*"), n the pages it was seen on, c the items inside; for a slot h the hash of its text while that is the same
-# on all pages (else None), t and l the characters of text and of links in it.
+# "+" or "*"), n the pages it was seen on, c the items inside; for a slot t and l the characters of text and of links
+# in it, T the smallest hashes of its texts and P those of its texts with their pages, so that a page that occurs twice
+# counts once. What is known of a slot is sums and sets: it doesn't depend on the order of pages.
 
 
-def item(node: Node | tuple) -> dict:
+def short_hash(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(data, seed) >> 11
+
+
+def item(node: Node | tuple, page: int = 0) -> dict:
     if isinstance(node, tuple):
-        return {"k": "#", "q": "1", "n": 1, "h": xxhash.xxh3_64_intdigest(node[0].encode()), "t": len(node[0]), "l": node[1]}
-    return {"k": node.key, "q": "1", "n": 1, "a": node.aside, "c": fold([item(c) for c in node.children])}
+        data = node[0].encode("utf-8", "surrogatepass")
+        return {"k": "#", "q": "1", "n": 1, "t": len(node[0]), "l": node[1], "T": [short_hash(data)], "P": [short_hash(data, page)]}
+    return {"k": node.key, "q": "1", "n": 1, "a": node.aside, "c": fold([item(c, page) for c in node.children])}
+
+
+def union(a: list[int], b: list[int]) -> list[int]:
+    return sorted({*a, *b})[:SKETCH]
+
+
+def distinct(sketch: list[int]) -> float:
+    """About how many values a sketch of the smallest hashes stands for; exactly, while they are few."""
+    return len(sketch) if len(sketch) < SKETCH else (SKETCH - 1) / (sketch[-1] / 2**53)
+
+
+def shape(items: list[dict]) -> str:
+    """The regular expression of items, without what is known of their texts."""
+    return " ".join(f"{x['k']}{x['q']}" + (f"<{shape(x['c'])}>" if "c" in x else "") for x in items)
 
 
 def loosest(a: str, b: str) -> str:
@@ -172,7 +198,7 @@ def merge(a: dict, b: dict, same_page: bool = False) -> dict:
     """One item for two of the same key; slots of different text become variable."""
     out = {"k": a["k"], "q": loosest(a["q"], b["q"]), "n": max(a["n"], b["n"]) if same_page else a["n"] + b["n"]}
     if a["k"] == "#":
-        return out | {"h": a["h"] if a["h"] == b["h"] else None, "t": a["t"] + b["t"], "l": a["l"] + b["l"]}
+        return out | {"t": a["t"] + b["t"], "l": a["l"] + b["l"], "T": union(a["T"], b["T"]), "P": union(a["P"], b["P"])}
     return out | {"a": a.get("a", False) and b.get("a", False), "c": align(a["c"], b["c"], same_page)}
 
 
@@ -271,67 +297,119 @@ def walk(items: list[dict], path: str = "") -> Iterator[tuple[str, dict]]:
         yield from walk(x.get("c", []), here)
 
 
-def variable_text(x: dict) -> int:
-    """Characters of text that changes between pages, links and blocks set aside not counted."""
+def slots(x: dict) -> Iterator[dict]:
     if x["k"] == "#":
-        return max(0, x["t"] - x["l"]) if x["h"] is None or x["n"] < CONSTANT_PAGES else 0
-    return 0 if x.get("a") else sum(map(variable_text, x.get("c", [])))
+        yield x
+    for c in x.get("c", []):
+        yield from slots(c)
+
+
+def is_own(x: dict) -> bool:
+    """Whether a slot's texts are the host's own, by their variability, or lead elsewhere, by their links."""
+    return distinct(x["T"]) <= OWN * distinct(x["P"]) or x["l"] >= LINKS * x["t"]
+
+
+def variable_text(x: dict) -> int:
+    """Characters of text that changes between pages and is no link."""
+    return sum(y["t"] - y["l"] for y in slots(x) if not is_own(y))
+
+
+def flat(items: list[dict]) -> list[dict]:
+    """Items with those of groups in place of the groups."""
+    return [y for x in items for y in (flat(x["c"]) if x["k"].startswith("(") else [x])]
+
+
+def article(wrapper: list[dict]) -> str | None:
+    """The path of the block that holds the article.
+
+    From the top, the block is entered that holds most of the text that changes from page to page, blocks that few
+    pages have counting less (within a tenth of the text, one that isn't marked as something else is preferred), while it
+    holds at least SHARE of what is there. Then the block around is taken instead,
+    as long as all that changes in it besides lies in paragraphs, headings and the like (a title above the text), and
+    at last, if a block around that is no more than the body's is named as an article or main part, that one: between
+    these levels the texts' variability doesn't decide, and names do.
+    """
+    pages = max((x["n"] for x in wrapper), default=1)
+    chain: list[tuple[str, dict]] = []
+    items, path = flat(wrapper), ""
+    while inner := [x for x in items if x["k"] != "#"]:
+        text = {id(x): variable_text(x) for x in items}
+        total = sum(text.values())
+        weight = {id(x): text[id(x)] * min(1.0, x["n"] / pages) ** 2 for x in inner}
+        top = max(inner, key=lambda x: (round(10 * weight[id(x)] / max(total, 1)), not x.get("a"), weight[id(x)], x["k"]))
+        if not text[id(top)] or text[id(top)] < SHARE * total or LEAF.match(top["k"]):
+            break
+        path, items = f"{path}/{top['k']}", flat(top["c"])
+        chain.append((path, top))
+    k = len(chain) - 1
+    while k > 0 and not re.match(r"(body|html)\b", chain[k - 1][1]["k"]):
+        beside = [x for x in flat(chain[k - 1][1]["c"]) if x is not chain[k][1] and variable_text(x) and not x.get("a")]
+        if any(x["k"] != "#" and not LEAF.match(x["k"]) for x in beside):
+            break
+        k -= 1
+    named = [i for i in range(k + 1) if re.match(r"article\b|main\b", chain[i][1]["k"]) or chain[i][1]["k"].endswith(".main")]
+    return chain[named[-1] if named else k][0] if chain else None
 
 
 def rules(wrapper: list[dict]) -> dict:
-    """What extraction needs of a host's wrapper: the path of the article, and paths of texts that never change.
+    """What extraction needs of a host's wrapper: the article's path, and the paths of slots and blocks that aren't of it.
 
-    The article is the <article>, <main> or main-role block with the most variable text; without one, the block that is
-    reached from the top by entering the child that holds at least 0.7 of the variable text.
+    These are slots of the host's own texts, and blocks most of whose text is links. A path that stands for several
+    items of the wrapper is judged by all of them.
     """
-    marked = [(variable_text(x), p) for p, x in walk(wrapper) if not x.get("a") and (re.match(r"article\b|main\b", x["k"]) or x["k"].endswith(".main"))]
-    root = max(marked, key=lambda m: m[0], default=(0, None))
-    path = root[1] if root[0] else None
-    if path is None:
-        items, path = wrapper, ""
-        while items:
-            flat = [y for x in items for y in (x["c"] if x["k"].startswith("(") else [x])]
-            total = sum(map(variable_text, flat))
-            top = max((x for x in flat if x["k"] != "#" and not x.get("a")), key=variable_text, default=None)
-            if top is None or total == 0 or variable_text(top) < 0.7 * total or re.match(r"(p|h\d|li|td|pre|blockquote)\b", top["k"]):
-                break
-            path, items = f"{path}/{top['k']}", top["c"]
-        path = path or None
-    constant = sorted({p for p, x in walk(wrapper) if x["k"] == "#" and x["h"] is not None and x["n"] >= CONSTANT_PAGES and not re.search(r"/(p|h\d|li|td|pre|blockquote)\b[^/]*/#$", p)})
-    return {"root": path, "constant": constant}
-
-
-def blocks(node: Node, path: str, constant: set[str], out: list[str], header: bool = False) -> None:
-    """Texts of the blocks inside, in page order, without what is set aside; of a header only its headings."""
+    by_path: dict[str, list[dict]] = {}
+    for path, x in walk(wrapper):
+        if not x["k"].startswith("("):
+            by_path.setdefault(path, []).append(x)
+    drop = []
+    for path, own in by_path.items():
+        inside = [y for x in own for y in slots(x)]
+        total, links = sum(y["t"] for y in inside), sum(y["l"] for y in inside)
+        joined = {"t": total, "l": links, "T": [], "P": []}
+        for y in inside:
+            joined |= {"T": union(joined["T"], y["T"]), "P": union(joined["P"], y["P"])}
+        if total and (is_own(joined) if own[0]["k"] == "#" else links >= LINKS * total):
+            drop.append(path)
+    return {"root": article(wrapper), "drop": sorted(drop)}
+
+
+def blocks(node: Node, path: str, drop: set[str], out: list[str], header: bool = False) -> None:
+    """Texts of the blocks inside, in page order, without what is dropped or set aside; of a header only its headings."""
     for c in node.children:
         if isinstance(c, tuple):
-            if (not header or node.tag in HEADINGS) and f"{path}/#" not in constant:
+            if (not header or node.tag in HEADINGS) and f"{path}/#" not in drop:
                 out.append(c[0])
-        elif not c.aside:
-            blocks(c, f"{path}/{c.key}", constant, out, header or c.tag == "header")
+        elif not c.aside and f"{path}/{c.key}" not in drop:
+            blocks(c, f"{path}/{c.key}", drop, out, header or c.tag == "header")
 
 
 def find(node: Node, path: str, want) -> list[tuple[Node, str]]:
     """Outermost blocks, with their paths, that `want` accepts."""
     out = []
     for c in node.children:
-        if isinstance(c, Node) and not c.aside:
+        if isinstance(c, Node):
             here = f"{path}/{c.key}"
             out += [(c, here)] if want(c, here) else find(c, here, want)
     return out
 
 
 def extract(page: Node, rule: dict | None) -> str:
-    """Main text of a parsed page: of the blocks at the host's article path, else of its own article, else of its body."""
-    rule = rule or {"root": None, "constant": []}
-    constant = set(rule["constant"])
+    """Main text of a parsed page: of the blocks at the host's article path, else of its own article, else of its body.
+
+    Where nothing is left of a page's article, as on a host all of whose pages have the same, what its host's pages have
+    in common stays.
+    """
+    rule = rule or {"root": None, "drop": []}
     roots = find(page, "", lambda c, p: p == rule["root"]) if rule["root"] else []
-    roots = roots or find(page, "", lambda c, p: c.tag in ("article", "main") or c.key.endswith(".main"))
+    roots = roots or find(page, "", lambda c, p: not c.aside and (c.tag in ("article", "main") or c.key.endswith(".main")))
     if not roots:
         roots = find(page, "", lambda c, p: c.tag == "body") or [(page, "")]
-    out: list[str] = []
-    for node, path in roots:
-        blocks(node, path, constant, out)
+    for drop in (set(rule["drop"]), set()):
+        out: list[str] = []
+        for node, path in roots:
+            blocks(node, path, drop, out)
+        if out:
+            break
     return "\n\n".join(out)
 
 
@@ -343,58 +421,83 @@ def host(url: str | None) -> str:
 
 
 def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A wrapper per host and task: each page's structure is aligned with what was inferred before."""
-    known: dict[str, list[dict]] = {}
+    """Wrappers of one page each, those of a host and shape as one: (host, shape, wrapper)."""
+    known: dict[tuple[str, str], list[dict]] = {}
 
     def out() -> pd.DataFrame:
-        df = pd.DataFrame({"host": list(known), "wrapper": [json.dumps(w) for w in known.values()]})
+        df = pd.DataFrame({"host": [h for h, _ in known], "shape": [x for _, x in known], "wrapper": [json.dumps(w) for w in known.values()]})
         known.clear()
         return df
 
     for df in batches:
         for url, source in zip(df["url"], df["html"], strict=True):
-            h, page = host(url), fold([item(c) for c in parse(source or "").children])
-            known[h] = align(known[h], page) if h in known else page
+            source = source or ""
+            page = short_hash(source.encode("utf-8", "surrogatepass"))
+            own = fold([item(c, page) for c in parse(source).children])
+            key = host(url), xxhash.xxh3_128_hexdigest(shape(own).encode("utf-8", "surrogatepass"))
+            known[key] = same_shape(known[key], own) if key in known else own
         if len(known) > 500:
             yield out()
     if known:
         yield out()
 
 
+def same_shape(a: list[dict], b: list[dict]) -> list[dict]:
+    """Two wrappers of one shape as one: item by item."""
+    return [merge(x, y) if x["k"] == "#" else merge(x | {"c": []}, y | {"c": []}) | {"c": same_shape(x["c"], y["c"])} for x, y in zip(a, b, strict=True)]
+
+
 def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wrappers that come sorted by host, aligned to one for each."""
-    last, wrapper = None, None
+    """Wrappers that come sorted by host, salt and shape, to one of each host and salt: those of one shape first become
+    one, then the shapes are aligned in their order."""
+    last = shape_ = None
+    whole: list[dict] | None = None
+    part: list[dict] | None = None
+
+    def joined() -> list[dict]:
+        return part if whole is None else align(whole, part)
+
+    def row() -> pd.DataFrame:
+        return pd.DataFrame({"host": [last[0]], "shape": [shape_], "salt": [last[1]], "wrapper": [json.dumps(joined())]})
+
     for df in batches:
-        hosts, wrappers = [], []
-        for h, w in zip(df["host"], df["wrapper"], strict=True):
-            if h == last:
-                wrapper = align(wrapper, json.loads(w))
-            else:
+        for h, salt, x, w in zip(df["host"], df["salt"], df["shape"], df["wrapper"], strict=True):
+            own = json.loads(w)
+            if (h, salt) != last:
                 if last is not None:
-                    hosts.append(last)
-                    wrappers.append(json.dumps(wrapper))
-                last, wrapper = h, json.loads(w)
-        if hosts:
-            yield pd.DataFrame({"host": hosts, "wrapper": wrappers})
+                    yield row()
+                last, whole, part, shape_ = (h, salt), None, own, x
+            elif x == shape_:
+                part = same_shape(part, own)
+            else:
+                whole, part, shape_ = joined(), own, x
     if last is not None:
-        yield pd.DataFrame({"host": [last], "wrapper": [json.dumps(wrapper)]})
+        yield row()
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """One wrapper per host, from all its pages: (host, wrapper as JSON).
 
-    Tasks align their own pages first, so of a host there are as many partial wrappers as tasks at most; these meet in
-    sixteen groups before they meet in one.
+    Pages of one shape are one first, within their tasks. The shapes of a host are then aligned in the order of their
+    hashes, in 256 groups, whose wrappers are aligned in 16, and these in one. Which shapes meet, and in which order,
+    depends on the pages alone, neither on their order nor on how they are dealt out.
     """
-    part = pages.select("url", "html").mapInPandas(learn, "host string, wrapper string")
-    part = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    part = part.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInPandas(combine, "host string, wrapper string")
-    return part.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(combine, "host string, wrapper string")
+    kind = "host string, shape string, salt int, wrapper string"
+    part = pages.select("url", "html").mapInPandas(learn, "host string, shape string, wrapper string")
+    part = part.withColumn("salt", F.pmod(F.crc32(F.col("shape").cast("binary")), F.lit(256)).cast("int"))
+    for most in (16, 1, None):
+        part = part.repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").select("host", "shape", "salt", "wrapper").mapInPandas(combine, kind)
+        if most:
+            part = part.withColumn("shape", F.concat(F.lpad(F.col("salt").cast("string"), 4, "0"), "shape")).withColumn("salt", F.pmod("salt", F.lit(most)))
+    return part.select("host", "wrapper")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars (code points of text).
 
+    A host's wrapper tells where the article is and what in it is not of it (see article and rules); names of tags,
+    classes and roles set aside what remains: scripts, forms, and blocks that are marked as a menu, an advert or comments.
+    The order of pages and how they are dealt out change nothing, nor do pages that occur several times.
     Character references are decoded, white space inside a block is one space, blocks are joined by an empty line. Null
     and empty pages have an empty text; a null or odd url is the host "". Unclosed elements and pages that end within
     an element are read as far as they go. Equal rows give equal rows.
