@@ -15,10 +15,12 @@ from locusmill.llm.common import U64, Scratch, components, lists, mix
 
 THRESHOLD = 0.93
 #: Projections in a key, tables, and width of a cell; unit vectors of cosine 0.93 lie 0.37 apart, meet in a cell of one
-#: projection with probability 0.85, and so miss each other in all tables with probability 2e-5.
+#: projection with probability 0.85, and so miss each other in all tables with probability 3e-5, at cosine 0.97 below 1e-8.
 PROJECTIONS, TABLES, WIDTH = 14, 96, 2.0
 #: Vectors of a bucket that are held against each other at a time; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
+#: Rows of groups that a task looks at together, and the size up to which groups are multiplied many at a time.
+LOT, SMALL = 16_384, 32
 #: Vectors and directions are rounded to these steps: sums of their products are exact, so a key doesn't depend on the
 #: order of addition and can be computed anew anywhere.
 VECTOR_STEPS, DIRECTION_STEPS = 2.0**22, 2.0**12
@@ -90,32 +92,68 @@ def keyed(projections: int, tables: int, width: float):
     return run
 
 
-def compared(threshold: float, projections: int, tables: int, width: float):
-    """Rows of a block pair, sorted by it, to (node, links, other): weighted links and a link of a spanning forest."""
-
-    def block(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, one = rows["key"][0], rows["i"][0] == rows["j"][0]
-        node, weight, side = np.array(rows["node"]), np.array(rows["weight"]), np.array(rows["own"])
-        unit = unit_rows(rows["vec"])
-        salt = np.array(rows["salt"], dtype=np.int64).view(np.uint64) ^ U64(len(rows["vec"][0]))
-        left = np.arange(len(node)) if one else np.flatnonzero(side == rows["i"][0])
-        right = left if one else np.flatnonzero(side == rows["j"][0])
-        s = unit[left] @ unit[right].T
-        p, q = np.nonzero(s >= threshold - 1e-9)
-        p, q = left[p], right[q]
-        ok = (p < q) if one else np.ones(len(p), bool)
-        p, q = p[ok], q[ok]
-        exact = np.concatenate([np.einsum("ij,ij->i", unit[p[k : k + 20_000]], unit[q[k : k + 20_000]]) for k in range(0, len(p), 20_000)]) if len(p) else np.zeros(0)
-        p, q = p[exact >= threshold], q[exact >= threshold]
-        if len(p):
-            used = np.unique(np.concatenate([p, q]))
-            codes = np.zeros((len(node), tables), np.uint64)
-            codes[used] = keys(unit[used], salt[used], projections, tables, width)
-            t = int(np.flatnonzero(codes[p[0]].view(np.int64) == key)[0])
-            mine = np.concatenate([~(codes[p[k : k + 20_000], :t] == codes[q[k : k + 20_000], :t]).any(axis=1) for k in range(0, len(p), 20_000)])
-            p, q = p[mine], q[mine]  # a pair that met in an earlier table was counted there
-        links = np.bincount(p, weight[q], len(node)) + np.bincount(q, weight[p], len(node))
-        root = np.arange(len(node))
+class Lot:
+    """Whole groups of rows (key, i, j, own, node, weight, salt, vec), all of one vector length, as arrays."""
+
+    def __init__(self, cols: dict[str, np.ndarray], unit: np.ndarray, params: tuple[int, int, float]):
+        self.c, self.unit, self.params = cols, unit, params
+        same = np.ones(len(unit), bool)
+        for n in ("key", "i", "j"):
+            same[1:] &= cols[n][1:] == cols[n][:-1]
+        same[:1] = False
+        self.begin = np.flatnonzero(~same)
+        self.size = np.diff(np.append(self.begin, len(unit)))
+
+    def close_pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of a group whose cosine reaches the threshold: within its block, or between its two."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        one = self.c["i"][self.begin] == self.c["j"][self.begin]
+        for n in np.unique(self.size[one & (self.size <= SMALL) & (self.size > 1)]):
+            at = self.begin[one & (self.size == n)]
+            for k in range(0, len(at), max(1, LOT // n)):
+                rows = at[k : k + max(1, LOT // n), None] + np.arange(n)
+                u = self.unit[rows]
+                g, x, y = np.nonzero(np.triu(np.matmul(u, u.transpose(0, 2, 1)) >= threshold - 1e-9, 1))
+                found.append((rows[g, x], rows[g, y]))
+        for at, n, single in zip(*(v.tolist() for v in (self.begin, self.size, one)), strict=True):
+            if single and n <= SMALL:
+                continue
+            own = self.c["own"][at : at + n]
+            left = at + (np.arange(n) if single else np.flatnonzero(own == self.c["i"][at]))
+            right = left if single else at + np.flatnonzero(own == self.c["j"][at])
+            x, y = np.nonzero(self.unit[left] @ self.unit[right].T >= threshold - 1e-9)
+            keep = x < y if single else np.ones(len(x), bool)
+            found.append((left[x[keep]], right[y[keep]]))
+        p, q = (np.concatenate(v) for v in zip(*found, strict=True))
+        exact = [np.einsum("ij,ij->i", self.unit[p[k : k + 20_000]], self.unit[q[k : k + 20_000]]) >= threshold for k in range(0, len(p), 20_000)]
+        ok = np.concatenate([np.zeros(0, bool), *exact])
+        return p[ok], q[ok]
+
+    def counted_here(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which pairs meet in their group's table first."""
+        node, first, inverse = np.unique(self.c["node"], return_index=True, return_inverse=True)
+        used = np.unique(np.concatenate([inverse[p], inverse[q]]))
+        place = np.zeros(len(node), np.int64)
+        place[used] = np.arange(len(used))
+        rows = first[used]
+        salt = self.c["salt"][rows].view(np.uint64) ^ U64(8 * self.unit.shape[1])
+        codes = np.concatenate([keys(self.unit[rows[k : k + 2000]], salt[k : k + 2000], *self.params) for k in range(0, len(rows), 2000)]) if len(rows) else np.zeros((0, 1), np.uint64)
+        out = [np.zeros(0, bool)]
+        for k in range(0, len(p), 20_000):
+            a, b = codes[place[inverse[p[k : k + 20_000]]]], codes[place[inverse[q[k : k + 20_000]]]]
+            met = (a == b).argmax(axis=1)
+            out.append(a[np.arange(len(a)), met].view(np.int64) == self.c["key"][p[k : k + 20_000]])
+        return np.concatenate(out)
+
+    def links(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, links, other): by node its weighted links in these groups, and the smallest node that they lead to."""
+        p, q = self.close_pairs(threshold)
+        mine = self.counted_here(p, q)
+        p, q = p[mine], q[mine]
+        node, at = np.unique(self.c["node"], return_inverse=True)
+        weight = self.c["weight"]
+        count = np.bincount(at[p], weight[q], len(node)) + np.bincount(at[q], weight[p], len(node))
+        p, q, root = at[p], at[q], np.arange(len(node))
         while len(p):
             low = np.minimum(root[p], root[q])
             new = root.copy()
@@ -125,31 +163,37 @@ def compared(threshold: float, projections: int, tables: int, width: float):
             if (new == root).all():
                 break
             root = new
-        some = links > 0
-        return node[some], links[some].astype(np.int64), node[root[some]]
+        some = count > 0
+        return node[some], count[some].astype(np.int64), node[root[some]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "own", "node", "weight", "salt", "vec"]
-        held: dict[str, list] = {n: [] for n in names}
-        last = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held["node"]) > 1:
-                n, c, o = block(held)
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(o, pa.int64())], names=["node", "links", "other"])
-            for v in held.values():
-                v.clear()
 
+def compared(threshold: float, projections: int, tables: int, width: float):
+    """Rows of groups, sorted by them, to (node, links, other), see Lot.links."""
+    names = ["key", "i", "j", "own", "node", "weight", "salt"]
+
+    def lots(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        vecs = part.column("vec").to_pylist()
+        cols = {n: part.column(n).to_numpy() for n in names}
+        for rows in by_length(vecs):
+            n, c, o = Lot({k: v[rows] for k, v in cols.items()}, unit_rows([vecs[i] for i in rows.tolist()]), (projections, tables, width)).links(threshold)
+            if len(n):
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(o, pa.int64())], names=["node", "links", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-            for row in zip(*cols, strict=True):
-                if row[:3] != last:
-                    yield from done()
-                    last = row[:3]
-                for n, v in zip(names, row, strict=True):
-                    held[n].append(v)
-        yield from done()
+            held.append(batch)
+            if sum(map(len, held)) < LOT:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            ids = [whole.column(n).to_numpy() for n in names[:3]]
+            last = np.logical_and.reduce([x == x[-1] for x in ids])
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0  # the last group may go on
+            if cut:
+                yield from lots(whole.slice(0, cut))
+                held = whole.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from lots(pa.Table.from_batches(held))
 
     return run
 
