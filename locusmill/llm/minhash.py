@@ -17,7 +17,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: a candidate with probability 0.1.
 BANDS, ROWS = 32, 6
 #: Nodes of a block of a bucket.
-BLOCK = 512
+BLOCK = 256
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -309,14 +309,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     regs = nodes.select("node", "regs")
     both = pairs.join(regs.withColumnsRenamed({"node": "a", "regs": "x"}), "a").join(regs.withColumnsRenamed({"node": "b", "regs": "y"}), "b")
     pairs = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(likely(threshold, bands * rows), "a long, b long"), "pairs")
-    # A node's text is fetched where a pair or a group asks for it.
-    place = nodes.select(F.col("tkey").alias("k_"), "node")
-
-    def texts_of(asked: DataFrame, name: str) -> DataFrame:
-        first = place.join(asked.select("node").distinct(), "node")
-        return scratch.keep(src.join(first, (F.col("tkey") == F.col("k_")) & (F.col("doc_id") == F.col("node"))).select("k_", "node", "text").dropDuplicates(["k_", "node"]), name)
-
-    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "texts")
+    # Texts of all nodes that share a band with another, so that the documents are read for them once.
+    first = nodes.select(F.col("tkey").alias("k_"), "node").join(member.select("node").distinct(), "node")
+    texts = src.join(first, (F.col("tkey") == F.col("k_")) & (F.col("doc_id") == F.col("node"))).select("k_", "node", "text").dropDuplicates(["k_", "node"])
+    texts = scratch.keep(texts, "texts")
     links = scratch.keep(linked(pairs, texts, k, threshold), "links")
     # Rows that share a doc_id are one document though their texts, and so their nodes, may differ.
     same = sig.where("doc_id is not null").join(nodes.select("tkey", "node"), "tkey").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -328,7 +324,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     order = list(GROUP)
     known = groups.join(nodes.select("node", "regs", "keys"), "node").where(F.array_contains("keys", F.col("key"))).repartition(*order).sortWithinPartitions(*order, "node")
     asked = scratch.keep(known.mapInArrow(in_open_pairs(threshold, bands, rows), "key long, i int, j int, own int, node long"), "asked")
-    whole = nodes.select(F.col("tkey").alias("k_"), "node", "regs", "keys").join(texts_of(asked, "asked-texts"), ["k_", "node"])
+    whole = nodes.select(F.col("tkey").alias("k_"), "node", "regs", "keys").join(texts.join(asked.select("node").distinct(), "node"), ["k_", "node"])
     more = asked.join(groups, [*order, "own", "node"]).join(whole, "node").where(F.array_contains("keys", F.col("key")))
     more = more.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(resolved(k, threshold, bands, rows), "a long, b long")
     label = components(scratch, links.union(scratch.keep(more, "more")), "round2")
