@@ -234,9 +234,24 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, fill_steps: i
     bound = max(-(-total // capacity), sum(c for s, c in counts.items() if 2 * s > capacity))
     best: Plan | None = None
     revisions = 0
-    stack: list[list] = []  # [remaining counts, alternatives, index, waste so far]
+    stack: list[list] = []  # [alternatives, index, waste so far, decisions before]; have and fills are what follows from it
+    have = {s: c for s, c in counts.items() if c}
+    fills: list = []
+
+    def spend(fill: tuple[tuple[int, int], ...], times: int) -> None:
+        fills.append((fill, times))
+        for s, k in fill:
+            have[s] -= k * times
+            if not have[s]:
+                del have[s]
+
+    def undo(depth: int) -> None:
+        while len(fills) > depth:
+            fill, times = fills.pop()
+            for s, k in fill:
+                have[s] = have.get(s, 0) + k * times
 
-    def alternatives(have: dict[int, int]) -> list[tuple[int, tuple[tuple[int, int], ...], int]]:
+    def alternatives() -> list[tuple[int, tuple[tuple[int, int], ...], int]]:
         top = max(have)
         rest = dict(have)
         rest[top] -= 1
@@ -249,46 +264,36 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, fill_steps: i
             out.append((w, tuple(sorted(use.items(), reverse=True)), min(have[s] // k for s, k in use.items())))
         return out
 
-    def descend(have: dict[int, int], waste: int, fills: list) -> None:
+    def descend(waste: int) -> None:
         nonlocal best
         while have:
             allowed = best.sequences * capacity - capacity - total if best else None
-            alts = alternatives(have)
+            alts = alternatives()
             if allowed is not None and waste + alts[0][0] > allowed:
                 return
-            stack.append([have, alts, 0, waste, len(fills)])
+            stack.append([alts, 0, waste, len(fills)])
             w, fill, m = alts[0]
-            have, waste = spent(have, fill, m), waste + w * m
-            fills.append((fill, m))
+            spend(fill, m)
+            waste += w * m
         found = Plan(capacity, list(fills))
         if best is None or found.sequences < best.sequences:
             best = found
 
-    fills: list = []
-    descend({s: c for s, c in counts.items() if c}, 0, fills)
+    descend(0)
     while best and best.sequences > bound and stack and revisions < search_steps:
-        have, alts, i, waste, depth = stack.pop()
+        alts, i, waste, depth = stack.pop()
+        undo(depth)
         revisions += 1
         if i == 0 and len(alts) == 1:
-            alts = alternatives(have)
+            alts = alternatives()
         if i + 1 < len(alts) and waste + alts[i + 1][0] <= best.sequences * capacity - capacity - total:
             w, fill, m = alts[i + 1]
-            stack.append([have, alts, i + 1, waste, depth])
-            del fills[depth:]
-            fills.append((fill, m))
-            descend(spent(have, fill, m), waste + w * m, fills)
+            stack.append([alts, i + 1, waste, depth])
+            spend(fill, m)
+            descend(waste + w * m)
     return best or Plan(capacity)
 
 
-def spent(have: dict[int, int], fill: tuple[tuple[int, int], ...], times: int) -> dict[int, int]:
-    out = dict(have)
-    for s, k in fill:
-        out[s] -= k * times
-        if not out[s]:
-            del out[s]
-    return out
-
-
 def slots(plan: Plan) -> dict[int, np.ndarray]:
     """By length: rows (first rank, times in a sequence, first sequence, offset there), ranks ascending."""
     used: dict[int, int] = {}
