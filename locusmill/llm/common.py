@@ -22,13 +22,16 @@ U64 = np.uint64
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-#: Rows that go to a Python worker at a time: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time, by the settings that bound them and their defaults: texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(1 << 25))}
 
 
 def ready(spark: SparkSession) -> None:
+    """Ship the package, and bound the batches of the session, unless it has bounds of its own."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm.common import Scratch, running_total, slices
@@ -23,24 +23,26 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sizes, pa.int64())], names=[*(batch.schema.names[i] for i in keep), "size"])
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+def source_targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """One row per source: source, source_size, target.
 
     Sources share the total by weight, and a target stops at `epochs` times its source's size, the excess going to the
     others by weight until none is above. In ascending order of size over weight the stopped sources come first, so
-    running sums over the sources (a small table) give the level at which the rest share what is left.
+    running sums over the sources, which may be many, give the level at which the rest share what is left.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    given = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", given.cast("long")).withColumn("most", F.col("source_size") * epochs)
-    rank = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_ = Window.partitionBy(F.lit(1))
-    per = per.withColumn("left", F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.withColumn("heavy", F.sum("weight").over(rank.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("stopped", F.col("most") * F.col("heavy") < F.col("left") * F.col("weight"))
-    per = per.withColumn("rest", F.sum("source_size").over(all_) - F.sum(F.when(F.col("stopped"), F.col("most")).otherwise(0)).over(all_))
-    per = per.withColumn("open", F.sum(F.when(F.col("stopped"), 0).otherwise(F.col("weight"))).over(all_))
+    by_name = F.col("source").asc_nulls_last()
+    per = running_total(scratch, per.withColumn("one", F.lit(1).cast("long")), "named", [by_name], "one", out="nth")
+    given = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    per = scratch.keep(per.select("source", "source_size", given.cast("long").alias("weight"), (F.col("source_size") * epochs).alias("most")), "weighed")
+    by_level = [F.col("most") / F.col("weight"), by_name]
+    whole, heaviest = (per.agg(F.sum(c)).scalar() for c in ("source_size", "weight"))
+    per = running_total(scratch, per, "levels", by_level, "most", out="most_")
+    per = running_total(scratch, per, "heavies", by_level, "weight", out="weight_")
+    left, heavy = whole - F.col("most_") + F.col("most"), heaviest - F.col("weight_") + F.col("weight")
+    per = scratch.keep(per.withColumn("stopped", F.col("most") * heavy < left * F.col("weight")), "stopped")
+    stopped = per.where("stopped").agg(F.coalesce(F.sum("most"), F.lit(0))).scalar()
+    per = per.withColumns({"rest": whole - stopped, "open": per.where("not stopped").agg(F.sum("weight")).scalar()})
     share = F.when(F.col("stopped"), F.col("most").cast("double")).otherwise(F.col("rest") * F.col("weight") / F.col("open").cast("double"))
     return per.select("source", "source_size", share.alias("target"))
 
@@ -65,7 +67,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     sizes = scratch.keep(sizes, "counted")  # range-sorting reads its input twice
     order = [F.col("turn"), F.col("size"), F.col("doc_id")]
     queued = scratch.keep(running_total(scratch, sizes, "sizes", order, "size", group="source"), "queued")
-    targets = scratch.keep(source_targets(queued, weights, epochs), "targets")
+    targets = scratch.keep(source_targets(scratch, queued, weights, epochs), "targets")
     t = targets.select(F.col("source").alias("s_"), "source_size", "target")
     queued = queued.join(t, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
     each = queued.withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(epochs)])))

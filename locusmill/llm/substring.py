@@ -60,15 +60,26 @@ def representatives(words: np.ndarray, length: int, window: int) -> tuple[np.nda
     return h, smallest(h, window - length + 1)
 
 
+def among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of x are among sorted values."""
+    if not len(values):
+        return np.zeros(len(x), dtype=bool)
+    at = np.searchsorted(values, x)
+    at[at == len(values)] = 0
+    return values[at] == x
+
+
 def alive_starts(words: np.ndarray, length: int, window: int, repeated: np.ndarray) -> np.ndarray:
     """For each window of `window` words, whether its representative at `length` is among the sorted repeated hashes."""
     if len(words) < window:
         return np.zeros(0, dtype=bool)
     h, rep = representatives(words, length, window)
-    x = h[rep]
-    at = np.searchsorted(repeated, x)
-    at[at == len(repeated)] = 0
-    return repeated[at] == x if len(repeated) else np.zeros(len(x), dtype=bool)
+    return among(h[rep], repeated)
+
+
+def second_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    """Other hashes of the windows of `window` words. With the first they make 128 bits, by which the last level counts."""
+    return window_hashes(mix(words ^ U64(0x94D049BB133111EB)), window)
 
 
 def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -110,23 +121,25 @@ def next_level(length: int, after: int, window: int):
             for lo, hi, texts in slices(batch):
                 part = batch.slice(lo, hi - lo)
                 known = part.column(2)
-                keys, flat, lens, kept = [], [], [], []
+                keys, flat, lens, kept, more = [], [], [], [], []
                 for i, t in enumerate(texts):
                     words = hashes(t.split())
                     alive = alive_starts(words, length, window, np.sort(known[i].values.to_numpy().view(np.uint64)))
                     if alive.any():
                         h, rep = representatives(words, after, window)
-                        flat.append(h[np.unique(rep[alive])])
-                        lens.append(len(flat[-1]))
+                        at = np.unique(rep[alive])
+                        flat.append(h[at])
+                        more.append(second_hashes(words, window)[at] if after == window else h[:0])
+                        lens.append(len(at))
                         keys.append(part.column(0)[i].as_py())
                         kept.append(t)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kept, pa.binary()).cast(pa.string()), lists(np.concatenate(flat).view(np.int64), lens)], names=["tkey", "text", "hs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kept, pa.binary()).cast(pa.string()), lists(np.concatenate(flat).view(np.int64), lens), lists(np.concatenate(more).view(np.int64), lens if after == window else [0] * len(lens))], names=["tkey", "text", "hs", "gs"])
 
     return run
 
 
-def cut_texts(window: int):
+def cut_texts(window: int, doubled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in slices(batch):
@@ -134,7 +147,10 @@ def cut_texts(window: int):
                 cols: list[list] = [[], [], [], []]
                 for i, t in enumerate(texts):
                     words = t.split()
-                    alive = alive_starts(hashes(words), window, window, np.sort(part.column(2)[i].values.to_numpy().view(np.uint64)))
+                    own = hashes(words)
+                    alive = alive_starts(own, window, window, np.sort(part.column(2)[i].values.to_numpy().view(np.uint64)))
+                    if doubled:
+                        alive &= among(second_hashes(own, window), np.sort(part.column(3)[i].values.to_numpy().view(np.uint64)))
                     if not alive.any():
                         continue
                     gone = covered(alive, len(words), window)
@@ -153,7 +169,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, fi
     texts: tkey, doc_id, n_words, sha (of all words), copies. cut: tkey, n_removed, sha, kept.
     A text of at least `window` words that occurs twice goes wholly; one of its rows still stands in the levels, so that
     its windows count for others. At each level the representatives of the windows left are counted over all texts, and
-    only windows whose representative repeats go on to twice the length.
+    only windows whose representative repeats go on to twice the length. The last level counts windows by 128 bits.
     """
     spark = docs.sparkSession
     src = docs.select(text_key().alias("tkey"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -164,19 +180,22 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, fi
     left: DataFrame | None = None  # distinct texts with windows left
     hs = reps
     for k, length in enumerate(steps):
-        each = hs.select("tkey", F.explode("hs").alias("h"))
-        again = scratch.keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), f"again-{length}")
-        known = each.join(again, "h").groupBy("tkey").agg(F.collect_list("h").alias("hs"))
+        doubled = k > 0 and length == window
+        by = ["h", "g"] if doubled else ["h"]
+        each = hs.select("tkey", F.explode(F.arrays_zip("hs", "gs")).alias("x")).select("tkey", F.col("x.hs").alias("h"), F.col("x.gs").alias("g")) if doubled else hs.select("tkey", F.explode("hs").alias("h"))
+        again = scratch.keep(each.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by), f"again-{length}")
+        held = [F.collect_list("h").alias("hs"), *([F.collect_list("g").alias("gs")] if doubled else [])]
+        known = each.join(again, by).groupBy("tkey").agg(*held)
         known = scratch.keep(known, f"known-{length}")
         if left is None:
             one = known.join(reps.select("tkey", "rep"), "tkey").withColumnRenamed("tkey", "k_")
             texts = src.join(one, (F.col("tkey") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tkey", "text", "hs")
         else:
-            texts = left.join(known, "tkey").select("tkey", "text", "hs")
+            texts = left.join(known, "tkey").select("tkey", "text", "hs", *(["gs"] if doubled else []))
         if length == window:
-            cut = scratch.keep(texts.mapInArrow(cut_texts(window), "tkey binary, n_removed long, sha string, kept string"), "cut")
+            cut = scratch.keep(texts.mapInArrow(cut_texts(window, doubled), "tkey binary, n_removed long, sha string, kept string"), "cut")
             break
-        found = texts.mapInArrow(next_level(length, steps[k + 1], window), "tkey binary, text string, hs array<long>")
+        found = texts.mapInArrow(next_level(length, steps[k + 1], window), "tkey binary, text string, hs array<long>, gs array<long>")
         hs = scratch.keep(found, f"left-{steps[k + 1]}")
         left = hs.select("tkey", "text")
         scratch.drop(f"again-{length}")

@@ -113,12 +113,12 @@ def test_wrapper_inference():
     """Mismatches become optional, neighbours repeated, texts slots that change or stay."""
     pages = ["<div><h2>A</h2><p>1</p><p>2</p><span>s</span></div>", "<div><h2>A</h2><p>3</p><table><tr><td>x</td></tr></table></div>", "<div><h2>A</h2></div>"]
     w = []
-    for p in pages:
-        own = wrappers.fold([wrappers.item(c) for c in wrappers.parse(p).children])
+    for n, p in enumerate(pages):
+        own = wrappers.fold([wrappers.item(c, n) for c in wrappers.parse(p).children])
         w = wrappers.align(w, own) if w else own
     items = {x["k"]: x for x in w[0]["c"]}
-    assert items["h2"]["q"] == "1" and items["h2"]["c"][0]["h"] is not None
-    assert items["p"]["q"] == "*" and items["p"]["c"][0]["h"] is None and items["table"]["q"] == "?"
+    assert items["h2"]["q"] == "1" and len(items["h2"]["c"][0]["T"]) == 1 and len(items["h2"]["c"][0]["P"]) == 3
+    assert items["p"]["q"] == "*" and len(items["p"]["c"][0]["T"]) == 3 and items["table"]["q"] == "?"
     group = wrappers.fold([wrappers.item(c) for c in wrappers.parse("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>").children])
     assert group[0]["c"][0]["k"] == "(dt dd)" and group[0]["c"][0]["q"] == "+"
 
@@ -139,16 +139,64 @@ def test_long_mixed_lists(monkeypatch, pages, blocks, ordered):
         monkeypatch.setattr(wrappers, "MOST_ORDERED", ordered)
     made = mixed_pages(pages, blocks, random.Random(8))
     w = None
-    for _, source in made:
-        own = wrappers.fold([wrappers.item(c) for c in wrappers.parse(source).children])
+    for n, (_, source) in enumerate(made):
+        own = wrappers.fold([wrappers.item(c, n) for c in wrappers.parse(source).children])
         w = wrappers.align(w, own) if w else own
     rule = wrappers.rules(w)
     assert rule["root"] == "/body/div.story"
-    assert rule["constant"] == ["/body/div.top/#"]
+    assert rule["drop"] == ["/body/div.top/#", "/body/div.top/p/#"]
     for story, source in made:
         assert wrappers.extract(wrappers.parse(source), rule).split("\n\n") == [wrappers.re.sub("<[^>]*>", "", x) for x in story]
 
 
+def plain_pages(n, rng, host):
+    """Pages of a host whose markup tells nothing: (page_id, url, html), and the main text of each by its making."""
+    word = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(k))
+    menu = "".join(f"<li>{word(2)}</li>" for _ in range(6))
+    notice, foot = word(12), word(9)
+    pages, want = [], []
+    for i in range(n):
+        title, paragraphs = word(5), [word(rng.randrange(20, 60)) for _ in range(rng.randrange(2, 7))]
+        body = [f"<h2>{title}</h2>"]
+        for k, x in enumerate(paragraphs):
+            body.append(f"<p>{x}</p>")
+            if k == 1 and rng.random() < 0.5:
+                body.append(f'<div class="k7"><a href="/x">{word(6)}</a> now</div>')
+        remarks = "".join(f'<div class="v2"><span>{word(1)}</span><p>{word(rng.randrange(5, 30))}</p></div>' for _ in range(rng.randrange(0, 5)))
+        teasers = "".join(f'<p><a href="/{k}">{word(7)}</a></p>' for k in range(5))
+        advert = f'<div class="b{i}"><p>{word(8)}</p></div>' if rng.random() < 0.6 else ""
+        page = f'<html><body><div class="q1"><ul>{menu}</ul><p>{notice}</p></div>{advert}<div class="z"><div class="t">{"".join(body)}</div>{f"<div class={chr(34)}u{chr(34)}>{remarks}</div>" if remarks else ""}<div class="w">{teasers}</div></div><div class="y"><p>{foot}</p></div></body></html>'
+        pages.append((len(host) * 1000 + i, f"http://{host}/{i}", page))
+        want.append("\n\n".join([title, *paragraphs]))
+    return pages, want
+
+
+@pytest.mark.parametrize("n", [40, 12])
+def test_hosts_without_names(spark, n):
+    """Articles of hosts without telling tags, classes, roles: menus, notices, adverts, teasers, comments go, by the wrapper
+    alone, whatever the order of pages and their parts; and pages that occur many times change nothing."""
+    rng = random.Random(n)
+    made = [plain_pages(n, rng, f"host{k * 'x'}") for k in range(4)]
+    rows = [p for pages, _ in made for p in pages]
+    want = {p[0]: t for pages, texts in made for p, t in zip(pages, texts)}
+    kind = "page_id long, url string, html string"
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, kind)).collect()}
+    assert got == want
+    assert all(wrappers.extract(wrappers.parse(html), None) != want[i] for i, _, html in rows)
+    shuffled = [*rows, *rows[:3] * 30]
+    rng.shuffle(shuffled)
+    again = wrappers.main_text(spark.createDataFrame(shuffled, kind).repartition(7)).collect()
+    assert {r.page_id: r.text for r in again} == want and len(again) == len(shuffled)
+    one, two = (sorted((r.host, r.wrapper) for r in wrappers.infer_wrappers(spark.createDataFrame(x, kind).repartition(k)).collect()) for x, k in ((rows, 3), (rows[::-1], 5)))
+    assert one == two
+
+
+def test_same_article_everywhere(spark):
+    """A host all of whose pages hold one article keeps it."""
+    rows = [(i, f"http://same/{i}", f"<body><p>menu {i}</p><article><p>one text for all</p></article></body>") for i in range(30)]
+    assert {r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"one text for all"}
+
+
 def test_alignments_agree(monkeypatch):
     """Rows of numbers give the alignment that the plain recurrence gives."""
     rng = random.Random(5)
