@@ -319,6 +319,10 @@ def flat(items: list[dict]) -> list[dict]:
     return [y for x in items for y in (flat(x["c"]) if x["k"].startswith("(") else [x])]
 
 
+def is_named(x: dict) -> bool:
+    return bool(re.match(r"article\b|main\b", x["k"])) or x["k"].endswith(".main")
+
+
 def article(wrapper: list[dict]) -> str | None:
     """The path of the block that holds the article.
 
@@ -327,8 +331,12 @@ def article(wrapper: list[dict]) -> str | None:
     holds at least SHARE of what is there. Then the block around is taken instead,
     as long as all that changes in it besides lies in paragraphs, headings and the like (a title above the text), and
     at last, if a block around that is no more than the body's is named as an article or main part, that one: between
-    these levels the texts' variability doesn't decide, and names do.
+    these levels the texts' variability doesn't decide, and names do. So they do on a host whose pages all have the same
+    article: it is more text than all that changes.
     """
+    still = [(sum(y["t"] - y["l"] for y in slots(x)), p) for p, x in walk(wrapper) if is_named(x) and not variable_text(x)]
+    if still and max(still)[0] > sum(map(variable_text, wrapper)):
+        return max(still)[1]
     pages = max((x["n"] for x in wrapper), default=1)
     chain: list[tuple[str, dict]] = []
     items, path = flat(wrapper), ""
@@ -347,7 +355,7 @@ def article(wrapper: list[dict]) -> str | None:
         if any(x["k"] != "#" and not LEAF.match(x["k"]) for x in beside):
             break
         k -= 1
-    named = [i for i in range(k + 1) if re.match(r"article\b|main\b", chain[i][1]["k"]) or chain[i][1]["k"].endswith(".main")]
+    named = [i for i in range(k + 1) if is_named(chain[i][1])]
     return chain[named[-1] if named else k][0] if chain else None
 
 
