@@ -100,11 +100,6 @@ def weights_q(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matrix.weights(st.scores(spark, d)), "lq").select("rid", "fid", "lq")
 
 
-@query()
-def choose_random(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.choose_random(st.scores(spark, d), 7)
-
-
 @query(sql("SELECT rid, fid, ROUND(CAST(raw * 1.0 / t AS DOUBLE), 9) AS value FROM st_scores JOIN (SELECT fid, SUM(raw) t FROM st_scores GROUP BY fid) USING (fid)"))
 def multiply_columns(spark: SparkSession, d: str) -> DataFrame:
     m = st.scores(spark, d)
@@ -394,8 +389,8 @@ def params(spark: SparkSession, d: str, steps: int, by: str | None = None, **opt
     return em.fit(pooled(spark, d, by), em.Options(st.K, max_iter=steps, **options))
 
 
-for _name, _steps, _by in (("em_step1", 1, None), ("em_step3", 3, None), ("em_celltype_step2", 2, "celltype")):
-    query(sql(f"SELECT pool, fid, ROUND(pi, 9) AS pi, ROUND(theta, 9) AS theta FROM em_p{_steps}", *em_sql(_steps, _by or "'all'")), _name)(lambda spark, d, n=_steps, by=_by: rounded(rounded(params(spark, d, n, by), "pi"), "theta").select("pool", "fid", "pi", "theta"))
+for _name, _steps, _by in (("em_step1", 1, None), ("em_step3", 3, None), ("em_celltype_step2", 2, "celltype"), ("em_individual", 2, "bc")):
+    query(sql(f"SELECT pool, fid, ROUND(pi, 9) AS pi, ROUND(theta, 9) AS theta FROM em_p{_steps}", *em_sql(_steps, {None: "'all'", "bc": "CAST(bc AS VARCHAR)"}.get(_by, _by))), _name)(lambda spark, d, n=_steps, by=_by: rounded(rounded(params(spark, d, n, by), "pi"), "theta").select("pool", "fid", "pi", "theta"))
 
 LOGLIK = "em_l AS (SELECT SUM(z.z * (LN(e.q) + LN(p.pi) + CASE WHEN e.y = 1 THEN LN(p.theta) ELSE 0 END)) lnl, COUNT(DISTINCT e.rid) obs, 2 * COUNT(DISTINCT e.fid) params FROM em_z2 z JOIN em_w e ON e.rid = z.rid AND e.fid = z.fid JOIN em_p2 p ON p.fid = e.fid WHERE z.z > 0)"
 
@@ -411,18 +406,6 @@ def model_selection(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.round("lnl", 3).alias("lnl"), "obs", "params", F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"))
 
 
-@query()
-def em_pseudobulk(spark: SparkSession, d: str) -> DataFrame:
-    """The fit to convergence, or 100 iterations, over all cells."""
-    return params(spark, d, 100, theta_prior=0.0)
-
-
-@query()
-def em_individual(spark: SparkSession, d: str) -> DataFrame:
-    """A model per cell, to convergence."""
-    return params(spark, d, 100, "bc")
-
-
 def fitted(spark: SparkSession, d: str, steps: int = 2) -> DataFrame:
     cells = pooled(spark, d)
     return em.posteriors(cells, params(spark, d, steps))
@@ -445,8 +428,6 @@ for _mode, _sql in (
     ("best_exclude", sql(f"SELECT rid, fid, {ONE} FROM zb WHERE nbest = 1", *em_sql(2), BEST)),
     ("best_average", sql("SELECT rid, fid, ROUND(1.0::DOUBLE / nbest, 9) AS w FROM zb", *em_sql(2), BEST)),
     ("best_conf", sql(f"SELECT rid, fid, {ONE} FROM em_z2 WHERE z > 0.9", *em_sql(2))),
-    ("best_random", None),
-    ("initial_random", None),
 ):
 
     def _reassigned(spark: SparkSession, d: str, mode: str = _mode) -> DataFrame:

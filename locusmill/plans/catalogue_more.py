@@ -215,20 +215,20 @@ def pick_support(picked: DataFrame, cells: DataFrame, value: str, digits: int |
 
 
 @query(sql("SELECT DISTINCT rid, 1 AS picks, true AS best FROM st_scores WHERE raw > 0"))
-def initial_random_support(spark: SparkSession, d: str) -> DataFrame:
+def reassign_initial_random(spark: SparkSession, d: str) -> DataFrame:
     cells = st.scores(spark, d)
     return pick_support(reassign.reassign(cells, "initial_random", seed=7), cells, "raw", None)
 
 
 @query(sql("SELECT DISTINCT rid, 1 AS picks, true AS best FROM st_scores"))
-def best_random_support(spark: SparkSession, d: str) -> DataFrame:
+def reassign_best_random(spark: SparkSession, d: str) -> DataFrame:
     cells = pooled(spark, d)
     z = em.posteriors(cells, em.fit(cells, em.Options(st.K, max_iter=2)))
     return pick_support(reassign.reassign(z, "best_random", seed=7), z, "z", reassign.TIE_DIGITS)
 
 
 @query(sql("SELECT rid, COUNT(*) AS cells, 1 AS picks, true AS known FROM st_scores GROUP BY rid"))
-def choose_random_support(spark: SparkSession, d: str) -> DataFrame:
+def choose_random(spark: SparkSession, d: str) -> DataFrame:
     cells = st.scores(spark, d)
     picked = matrix.choose_random(cells, 7).select("rid", "fid", F.lit(1).alias("won"))
     both = cells.join(picked, ["rid", "fid"], "full_outer")
@@ -242,7 +242,7 @@ def fixed_point(spark: SparkSession, d: str, by: str | None) -> DataFrame:
 
 
 @query(sql("SELECT 'all' AS pool, true AS still, true AS whole"))
-def em_fixed_point(spark: SparkSession, d: str) -> DataFrame:
+def em_pseudobulk(spark: SparkSession, d: str) -> DataFrame:
     return fixed_point(spark, d, None)
 
 
