@@ -126,8 +126,8 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
     """Connected components of links (a, b): rows (node, label), the label being the component's smallest node.
 
     Links are contracted in rounds until none is left: every node goes to the first of itself and its neighbours, and
-    the links are drawn anew between the nodes so reached. In the first round the order is that of the nodes, which
-    ends stars around their smallest node at once; in each later one it is a new random order, which halves the nodes
+    the links are drawn anew between the nodes so reached. In the first two rounds the order is that of the nodes, which
+    ends stars, whatever their middle; in each later one it is a new random order, which halves the nodes
     that still have links, or better, on average, whatever their numbers: O(log n) rounds. Then the rounds' steps are
     followed back from the last to the first, each being as large as its round, and the last names are exchanged for
     the smallest nodes. Rounds are written tables, so no plan grows with their number.
@@ -137,7 +137,7 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
     while now.limit(1).count():
         k = len(steps)
         ends = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a"))
-        if k == 0:
+        if k < 2:
             first = F.least("node", F.min("other"))
         else:
             turn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("turn"), F.col(c).alias("node"))  # noqa: B023, E731
