@@ -162,7 +162,9 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
         ways = ways.join(least, "to").select("node", "label")
     else:
         ways = ways.select("node", F.col("to").alias("label"))
-    return scratch.keep(ways, f"{name}-labels")
+    out = scratch.keep(ways, f"{name}-labels")
+    scratch.drop(f"{name}-links{len(steps)}", *(f"{name}-{kind}{k}" for k in range(len(steps)) for kind in ("step", "ways")))
+    return out
 
 
 def running_total(scratch: Scratch, df: DataFrame, name: str, order: list, value: str, group: str | None = None, out: str = "cum") -> DataFrame:

@@ -229,6 +229,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, projections:
     count = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "weight", "id").join(count, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = scratch.keep(named, "named")
+    scratch.drop("keys", "shared", "found", "nodes", "cc-labels")  # what follows reads none of them
     smallest = named.groupBy("label").agg(F.min("id").alias("component"))
     per = named.join(smallest, "label").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
     out = rows.select("vec_id", "node").join(per, "node", "left")

@@ -328,6 +328,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     more = asked.join(groups, [*order, "own", "node"]).join(whole, "node").where(F.array_contains("keys", F.col("key")))
     more = more.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(resolved(k, threshold, bands, rows), "a long, b long")
     label = components(scratch, links.union(scratch.keep(more, "more")), "round2")
+    scratch.drop("member", "chosen", "pairs", "texts", "links", "groups", "asked", "more", "round1-labels")  # what follows reads none of them
     named = sig.select("tkey", "doc_id").join(nodes.select("tkey", "node"), "tkey", "left").join(label, "node", "left")
     out = named.select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

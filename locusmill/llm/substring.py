@@ -199,6 +199,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, fi
         hs = scratch.keep(found, f"left-{steps[k + 1]}")
         left = hs.select("tkey", "text")
         scratch.drop(f"again-{length}")
+    scratch.drop(*(f"{kind}-{length}" for length in steps for kind in ("again", "known", "left")))  # what follows reads none of them
     all_rows = rows.drop("hs").join(reps.select("tkey", "copies"), "tkey")
     return all_rows, cut
 
