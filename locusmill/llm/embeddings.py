@@ -15,7 +15,7 @@ from locusmill.llm.common import U64, Scratch, components, lists, mix
 
 THRESHOLD = 0.93
 #: Projections in a key, tables, and width of a cell; unit vectors of cosine 0.93 lie 0.37 apart, meet in a cell of one
-#: projection with probability 0.85, and so miss each other in all tables with probability 3e-5, at cosine 0.97 below 1e-8.
+#: projection with probability 0.85, and so miss each other in all tables with probability 2.6e-5, at cosine 0.97 below 1e-11.
 PROJECTIONS, TABLES, WIDTH = 14, 96, 2.0
 #: Vectors of a bucket that are held against each other at a time; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
