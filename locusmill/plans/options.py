@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from locusmill.operators.reassign import ALIASES, MODES
+from locusmill.sources.files import head
 
 POOLING = ("pseudobulk", "individual", "celltype")
 STRANDED = (None, "RF", "R", "FR", "F")
@@ -79,19 +80,18 @@ def resumed(saved: dict, given: dict) -> AssignOptions:
     return AssignOptions(**out)
 
 
-def checksum_head(path: str, algorithm: str = "sha1", most: int = 1 << 20) -> str:
-    """Digest of a local file's first bytes."""
-    with open(path, "rb") as f:
-        return hashlib.new(algorithm, f.read(most)).hexdigest()
+def checksum_head(path: str, algorithm: str = "sha1", most: int = 1 << 20, spark: SparkSession | None = None) -> str:
+    """Digest of a file's first bytes."""
+    return hashlib.new(algorithm, head(spark, path, most)).hexdigest()
 
 
-def derived_seed(options: AssignOptions) -> int:
+def derived_seed(options: AssignOptions, spark: SparkSession | None = None) -> int:
     """The given seed; -1: fresh entropy; none: from the digests of the two inputs."""
     if options.seed == -1:
         return int.from_bytes(os.urandom(4), "big")
     if options.seed is not None:
         return options.seed
-    a, b = (int(checksum_head(p)[:7], 16) for p in (options.alignments, options.annotation))
+    a, b = (int(checksum_head(p, spark=spark)[:7], 16) for p in (options.alignments, options.annotation))
     return a * b % (2**32 - 1)
 
 

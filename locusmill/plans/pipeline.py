@@ -191,7 +191,7 @@ def assign(spark: SparkSession, o: AssignOptions) -> dict[str, DataFrame]:
     """The whole run: load, molecule correction, fit, reassignment and report, with a checkpoint after each of the first
     two and at the end. With updated_sam the alignments on and off features are written too, each in a file."""
     if o.seed is None or o.seed == -1:
-        o = AssignOptions(**{**asdict(o), "seed": derived_seed(o)})
+        o = AssignOptions(**{**asdict(o), "seed": derived_seed(o, spark)})
     scratch = Scratch(spark, "assign")
     with logs.stage(1, "load annotation and alignments"):
         t = load(spark, o, scratch)

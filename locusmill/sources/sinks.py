@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusmill.sources.bam import Header, write_bam
+from locusmill.sources.files import text_file
 
 STATS = ("stage", "mode", "var", "value")
 
 
 def _single(df: DataFrame, order: list[str], column: str, path: str) -> None:
-    """One text file in order, written by streaming sorted partitions to the driver's file, never all at once."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
+    """One text file in order, written by streaming sorted partitions through the driver, never all at once."""
+    with text_file(df.sparkSession, path) as f:
         for row in df.orderBy(*order).select(column).toLocalIterator():
             f.write(row[0] + "\n")
 
@@ -28,10 +27,10 @@ def matrix_market(counts: DataFrame, features: int, cells: int, path: str, comme
     n = kept.count()
     number = F.col("n").cast("long").cast("string") if integer else F.col("n").cast("string")
     body = kept.select("bidx", "fid", F.concat_ws(" ", (F.col("fid") + 1).cast("string"), (F.col("bidx") + 1).cast("string"), number).alias("value"))
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
+    with text_file(counts.sparkSession, path) as f:
         f.write(f"%%MatrixMarket matrix coordinate {'integer' if integer else 'real'} general\n")
-        f.writelines(f"%{line}\n" for line in comment.splitlines())
+        for line in comment.splitlines():
+            f.write(f"%{line}\n")
         f.write(f"{features} {cells} {n}\n")
         for row in body.orderBy("bidx", "fid").select("value").toLocalIterator():
             f.write(row[0] + "\n")
@@ -44,8 +43,7 @@ def names(df: DataFrame, index: str, column: str, path: str) -> None:
 def stats(rows: DataFrame, path: str) -> None:
     """The long table of statistics, tab-separated, with a header, in the rows' order column n."""
     text = rows.select("n", F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in STATS]).alias("value"))
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
+    with text_file(rows.sparkSession, path) as f:
         f.write("\t".join(STATS) + "\n")
         for row in text.orderBy("n").select("value").toLocalIterator():
             f.write(row[0] + "\n")

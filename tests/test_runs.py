@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusmill.__main__ import main
 from locusmill.operators import segments
-from locusmill.plans import pipeline
+from locusmill.plans import options, pipeline
 from locusmill.plans.options import AssignOptions
 from locusmill.sources import bam, readers, sinks
 
@@ -142,6 +142,18 @@ def test_saved_tables(spark, inputs):
     assert [r.celltype for r in readers.distinct_types(readers.celltypes(spark, str(inputs / "ct.tsv"))).collect()] == ["B", "T"]
 
 
+def test_other_file_systems(spark, inputs):
+    """A run whose inputs and outputs are URLs writes the same files."""
+    url = f"file://{inputs}"
+    o = AssignOptions(f"{url}/a.sam", f"{url}/a.gtf", outdir=f"{url}/far", ignore_umi=True)
+    local = AssignOptions(str(inputs / "a.sam"), str(inputs / "a.gtf"), outdir=str(inputs / "near"), ignore_umi=True)
+    assert options.derived_seed(o, spark) == options.derived_seed(local)
+    for x in (o, local):
+        pipeline.assign(spark, x)
+    for name in ("TE_counts.mtx", "features.tsv", "barcodes.tsv"):
+        assert (inputs / "far" / f"locusmill-{name}").read_text() == (inputs / "near" / f"locusmill-{name}").read_text()
+
+
 def test_tags_that_differ(spark, inputs):
     (inputs / "bad.sam").write_text(SAM + "\n" + line("r3", 256, "chr2", 110, 38, "CCCC", "G2") + "\n")
     with pytest.raises(Exception, match="tags differ for r3"):
