@@ -20,6 +20,8 @@ DICT_DOCS, CALIBRATION_DOCS, SAMPLE_CHARS = 1000, 4000, 16_384
 #: Bytes of a dictionary, bytes that are compressed at a time (so that the dictionary, not what the text itself has said
 #: before, decides the size throughout a long text), and level.
 DICT_BYTES, CHUNK, LEVEL = 1 << 20, 512, 9
+#: Bytes of ordinary text that every text is taken to hold besides: of a few words the sizes tell little.
+ORDINARY = 50
 THRESHOLD = 0.3
 
 
@@ -39,13 +41,14 @@ class Compressors:
     def of(cls, good: bytes, bad: bytes) -> Compressors:
         return cls(compressor(good), compressor(bad))
 
-    def difference(self, texts: list[bytes]) -> np.ndarray:
-        """The normalised difference of the compressed sizes: (good - bad) in bytes a byte of text."""
-        out = np.empty(len(texts))
+    def difference(self, texts: list[bytes], usual: float | None = None) -> np.ndarray:
+        """The normalised difference of the compressed sizes, (good - bad) in bytes a byte of text, with ORDINARY bytes of
+        the usual difference added; none is added where usual is None."""
+        out, more = np.empty(len(texts)), 0 if usual is None else ORDINARY
         for i, t in enumerate(texts):
             parts = [t[k : k + CHUNK] for k in range(0, max(1, len(t)), CHUNK)]
             g, b = (sum(map(len, map(c.compress, parts))) for c in (self.good, self.bad))
-            out[i] = (g - b) / (len(t) + 20)
+            out[i] = (g - b + more * (usual or 0.0)) / max(len(t) + more, 1)
         return out
 
 
@@ -63,10 +66,12 @@ class QualityModel:
     #: Least and largest difference in the calibration, to which those of a text are drawn.
     low: float
     high: float
+    #: Median difference in the calibration.
+    usual: float
 
     def score(self, texts: list[bytes], compressors: Compressors | None = None) -> np.ndarray:
         c = compressors or Compressors.of(self.good, self.bad)
-        x = expand(np.clip(c.difference(texts), self.low, self.high), self.knots)
+        x = expand(np.clip(c.difference(texts, self.usual), self.low, self.high), self.knots)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -125,11 +130,13 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5
 def fit(rows: list[tuple[int, int, bytes]]) -> QualityModel:
     good, bad = (dictionary([t for use, y, t in rows if use == 0 and y == q]) for q in (1, 0))
     rest = [(y, t) for use, y, t in rows if use == 1]
-    d = Compressors.of(good, bad).difference([t for _, t in rest] or [b""])
+    c, texts = Compressors.of(good, bad), [t for _, t in rest] or [b""]
+    usual = float(np.median(c.difference(texts)))
+    d = c.difference(texts, usual)
     knots = np.quantile(d, [0.5, 0.9])
     x = expand(d, knots)
     weights = logistic(x, np.array([y for y, _ in rest], dtype=float)) if rest else np.zeros(x.shape[1])
-    return QualityModel(good, bad, knots, weights, float(d.min()), float(d.max()))
+    return QualityModel(good, bad, knots, weights, float(d.min()), float(d.max()), usual)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> QualityModel:
@@ -158,7 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = 0, threshold: f
     """Per row of docs: doc_id, held_out, score (0 to 1, higher: good likelier) and predicted (score >= threshold).
 
     Without labels of both kinds the score says little but is defined (0.5 without any). Empty and null texts get the
-    score of the empty text, equal texts equal scores.
+    score of the usual text, equal texts equal scores.
     """
     out = scored(docs, train(docs, labels, held_out), ["doc_id"], "score_")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == held_out
