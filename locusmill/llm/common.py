@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield start, len(texts), held
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (null: none), one after another, and how many each text has; lower: A-Z as a-z."""
+    texts = pc.fill_null(texts, "")
+    own = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = own.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    at = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+    offsets = own.offsets.to_numpy() - own.offsets[0].as_py()
+    return flat.filter(some), at[offsets[1:]] - at[offsets[:-1]]
+
+
+def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to CACHE_WORDS."""
 

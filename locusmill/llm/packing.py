@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import Scratch, running_total, slices
+from locusmill.llm.common import Scratch, parts_of, running_total, split_words
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker remembers; forgetting changes no result.
@@ -126,6 +126,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def text_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """Ids of texts one after another, and where each text's begin and the last one's end; each distinct word is looked up once."""
+    flat, lens = split_words(texts)
+    coded = flat.dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    ids = known.prepare(set(names))
+    parts = [ids[w] for w in names]
+    counts = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+    every, start = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(counts) - counts
+    at = coded.indices.to_numpy()
+    n = counts[at]
+    ends = np.append(0, np.cumsum(n))
+    seq = every[np.arange(int(ends[-1])) + np.repeat(start[at] - ends[:-1], n)]
+    return seq, ends[np.append(0, np.cumsum(lens))].tolist()
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): a document's ids and one end id, cut only where longer than capacity."""
     path = tokenizer or default_tokenizer()
@@ -134,13 +150,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for lo, _, texts in slices(batch, most=4 << 20):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in parts_of(texts, 4 << 20):
                 cols: list[list] = [[], [], [], [], [], []]
-                words = [t.split() for t in texts]
-                ids = known.prepare(set().union(*words))
-                for i, own in enumerate(words):
-                    data = b"".join(map(ids.__getitem__, own)) + end
+                seq, bounds = text_ids(known, texts.slice(lo, hi - lo))
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    data = seq[a:b].tobytes() + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         for c, v in zip(cols, (doc_ids[lo + i], k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
