@@ -184,38 +184,28 @@ class Adam:
             w -= lr * m / (np.sqrt(v) + np.float32(1e-8))
 
 
-def cluster(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, start_id: int, classes: int = CLASSES, contexts: int = 256, rounds: int = 12) -> np.ndarray:
-    """A class for each id: k-means, weighted by counts, of what stands before and after it in the sample.
+def group(beside: np.ndarray, counts: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
+    """A class for each id: k-means, weighted by counts, of the shares of what stands beside it (a row of counts).
 
-    Ids that the sample lacks are dealt to the classes in turn.
+    Ids without counts are dealt to the classes in turn.
     """
-    v = len(counts)
+    out = np.arange(len(counts)) % classes
     seen = np.flatnonzero(counts)
-    slot = np.full(v, contexts, np.int64)
-    top = seen[np.argsort(-counts[seen], kind="stable")][:contexts]
-    slot[top] = np.arange(len(top))
-    edge = np.zeros(len(ids), bool)
-    edge[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    before = np.where(edge, slot[start_id], slot[np.roll(ids, 1)])
-    after = np.where(np.roll(edge, -1), slot[start_id], slot[np.roll(ids, -1)])
-    row = np.full(v, -1, np.int64)
-    row[seen] = np.arange(len(seen))
-    x = np.zeros((len(seen), 2 * (contexts + 1)), np.float32)
-    np.add.at(x, (row[ids], before), 1)
-    np.add.at(x, (row[ids], contexts + 1 + after), 1)
-    share = x.sum(axis=0) / x.sum()
+    x = beside[seen].astype(np.float32)
+    share = beside[seen].sum(axis=0) / max(1, beside[seen].sum())
     weight = counts[seen].astype(np.float64)
-    x = np.sqrt((x + 2 * share) / (x.sum(axis=1, keepdims=True) + 2))
+    x += (2 * share).astype(np.float32)
+    x /= x.sum(axis=1, keepdims=True)
+    np.sqrt(x, out=x)
     order = np.argsort(-weight, kind="stable")
     centre = x[order[:classes]].copy()
     if len(centre) < classes:
-        centre = np.concatenate([centre, np.tile(x[:1] * 0, (classes - len(centre), 1))])
+        centre = np.concatenate([centre, np.zeros((classes - len(centre), x.shape[1]), np.float32)])
+    own = np.zeros(len(seen), np.int64)
     for _ in range(rounds):
         own = (x @ centre.T - 0.5 * (centre * centre).sum(axis=1)).argmax(axis=1)
         mass = np.bincount(own, weight, classes)
-        for c in range(classes):
-            if mass[c]:
-                centre[c] = (x[own == c] * weight[own == c, None]).sum(axis=0) / mass[c]
-    out = np.arange(v) % classes
+        for c in np.flatnonzero(mass).tolist():
+            centre[c] = (weight[own == c] @ x[own == c]) / mass[c]
     out[seen] = own
     return out

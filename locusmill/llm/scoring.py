@@ -32,8 +32,12 @@ DISCOUNT = 0.75
 HOT_WORDS = 1 << 17
 #: Words that a worker remembers; forgetting changes no result.
 CACHE_WORDS = 300_000
-#: Bytes of the documents on which the driver fits the start of the model, their number, and words seen in all passes.
-PILOT_BYTES, PILOT_DOCS, PILOT_WORDS = 6 << 20, 1500, 3_000_000
+#: Bytes and number of the documents of pilot(), of which no score depends.
+PILOT_BYTES, PILOT_DOCS = 6 << 20, 1500
+#: Most frequent first subwords, and one place for all others, that tell subwords apart by what stands beside their words.
+CONTEXTS = 128
+#: Bytes of text whose words are counted at a time, and cells of a block of counts.
+COUNT_BYTES, CELLS = 32 << 20, 1 << 18
 #: Training words for each trainer, and trainers at most: by the corpus alone, so that scores don't depend on the cluster.
 TRAINER_WORDS, TRAINERS = 3_000_000, 4096
 #: Windows of a step, subwords after which their rows are stepped, and the trainers' rate.
@@ -194,14 +198,118 @@ def means(emb: np.ndarray, ids: np.ndarray, own: np.ndarray, counts: np.ndarray)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, c) of the texts, once for each part of a task's texts; the empty word stands for the end."""
+    """(word, c) of the texts, once for each COUNT_BYTES of a task's texts; the empty word stands for the end."""
+
+    def counted(texts: pa.Array) -> pa.RecordBatch:
+        flat, lens = split_words(texts, lower=True)
+        counts = flat.value_counts()
+        words, c = counts.field(0), counts.field(1)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), pa.concat_arrays([c, pa.array([len(lens)], pa.int64())])], names=["word", "c"])
+
+    held: list[pa.Array] = []
+    size = 0
     for batch in batches:
         texts = batch.column(0)
-        for lo, hi in parts_of(texts, 8 << 20):
-            flat, lens = split_words(texts.slice(lo, hi - lo), lower=True)
-            counts = flat.value_counts()
-            words, c = counts.field(0), counts.field(1)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), pa.concat_arrays([c, pa.array([len(lens)], pa.int64())])], names=["word", "c"])
+        for lo, hi in parts_of(texts, COUNT_BYTES):
+            part = texts.slice(lo, hi - lo)
+            own = pc.sum(pc.binary_length(part)).as_py() or 0
+            if held and size + own > COUNT_BYTES:
+                yield counted(pa.concat_arrays(held))
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield counted(pa.concat_arrays(held))
+
+
+def packed(n: np.ndarray) -> pa.RecordBatch:
+    """Counts as a row for each block of CELLS cells that has any: their places and the counts."""
+    at = np.flatnonzero(n)
+    ends = np.searchsorted(at, np.arange(0, len(n) + CELLS, CELLS))
+    some = np.flatnonzero(np.diff(ends))
+    data = [(at[ends[k] : ends[k + 1]] - k * CELLS).astype("<i4").tobytes() + n[at[ends[k] : ends[k + 1]]].astype("<i8").tobytes() for k in some.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, "<i4", n), np.frombuffer(data, "<i8", n, 4 * n)
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks, which come sorted by their number."""
+
+    def whole(block: int, total: np.ndarray) -> pa.RecordBatch:
+        return packed(total).set_column(0, "block", pa.array([block], pa.int32()))
+
+    last, total = None, np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if last is not None and block != last:
+                yield whole(last, total)
+                total[:] = 0
+            last = block
+            at, n = unpacked(data)
+            total[at] += n
+    if last is not None:
+        yield whole(last, total)
+
+
+def summed(df: DataFrame, counter, size: int) -> np.ndarray:
+    """The `size` sums of what counter gives, packed, in each task over df; the driver gets each block once."""
+    blocks = df.mapInArrow(counter, "block int, data binary").repartition("block").sortWithinPartitions("block").mapInArrow(add_up, "block int, data binary").toArrow()
+    out = np.zeros(size)
+    for block, data in zip(blocks["block"].to_pylist(), blocks["data"].to_pylist(), strict=True):
+        at, n = unpacked(data)
+        out[block * CELLS + at] = n
+    return out
+
+
+def count_inside(path: str):
+    """Words with counts to the counts of subwords by what follows them in the word: vocabulary * CLASSES cells, an
+    id's last being the word's end, then a cell for each id as a word's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, k = vocabulary(path), attention.CLASSES
+        n = np.zeros(vocab * (k + 1), np.int64)
+        for batch in batches:
+            names, c = batch.column(0), batch.column(1).to_numpy()
+            plain = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+            n[vocab * k + vocab - 1] += c[~plain].sum()
+            ids, counts = encode_words(path, names.filter(pa.array(plain)).to_pylist())
+            if not len(ids):
+                continue
+            c, own = c[plain], np.cumsum(counts) - counts
+            after = np.roll(ids, -1) % (k - 1)
+            after[own + counts - 1] = k - 1
+            np.add.at(n, ids * k + after, np.repeat(c, counts))
+            np.add.at(n, vocab * k + ids[own], c)
+        yield packed(n)
+
+    return run
+
+
+def count_beside(path: str, places: np.ndarray):
+    """Texts to the counts of subwords by the places of the words' first subwords before and after their own word:
+    vocabulary * 2 * CONTEXTS cells. The end stands before a text's first word and after its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = plain_words(path)
+        n = np.zeros(len(places) * 2 * CONTEXTS, np.int32)  # a task's texts are far fewer than 2**31 words
+        for batch in batches:
+            for lo, hi in parts_of(batch.column(0), 4 << 20):
+                numbers, lens, _, _ = words.numbers(batch.column(0).slice(lo, hi - lo))
+                place = places[words.flat[words.start[numbers]]]
+                ends = np.cumsum(lens) - 1
+                before, after = np.roll(place, 1), np.roll(place, -1)
+                before[ends - lens + 1] = places[-1]
+                after[ends] = place[ends - lens + 1]
+                ids, _, counts = words.subwords(numbers)
+                np.add.at(n, ids * (2 * CONTEXTS) + np.repeat(before, counts), 1)
+                np.add.at(n, ids * (2 * CONTEXTS) + CONTEXTS + np.repeat(after, counts), 1)
+        yield packed(n)
+
+    return run
 
 
 class Fitter:
@@ -250,7 +358,8 @@ def trainer(model, seed: int):
         return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([of] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "of", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, words = model.value, None
+        start = model.value
+        words = plain_words(start.path)
         last, fitter, order, n = None, None, None, 0
         held: list[str] = []
 
@@ -269,7 +378,6 @@ def trainer(model, seed: int):
                         step()
                     if fitter:
                         yield weights(last, fitter, n)
-                    words = words or Words(start.path)
                     last, n, size = of, 0, 0
                     fitter = Fitter({k: v.copy() for k, v in start.params.items()}, words, start.classes)
                     order = np.random.Generator(np.random.PCG64(seed + of))
@@ -306,7 +414,7 @@ def mean_block(block: int, mass: int, total: np.ndarray) -> pa.RecordBatch:
 
 
 def count_subwords(model):
-    """Words with counts to the counts of subwords: (slot * (vocabulary + 1) + id, count), the slot past all others being
+    """Words with counts to the counts of subwords, in cells slot * (vocabulary + 1) + id, the slot past all others being
     for first subwords, and the id past all others for words' ends; after these, tokens and words by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,18 +440,14 @@ def count_subwords(model):
             seen.clear()
             counts.clear()
 
-        any_ = False
         for batch in batches:
             seen.extend(batch.column(0).to_pylist())
             counts.extend(batch.column(1).to_pylist())
-            any_ = True
             if len(seen) > 20_000:
                 add()
         if seen:
             add()
-        if any_:
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["at", "n"])
+        yield packed(n)
 
     return run
 
@@ -361,7 +465,8 @@ def refine(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
 def pilot(train: DataFrame, documents: int) -> list[str]:
     """Texts of about PILOT_DOCS training documents in the order of a hash, as many as PILOT_BYTES hold; of a long text a run.
 
-    The hash decides what is taken, whatever the order of the files, and where a run starts.
+    The hash decides what is taken, whatever the order of the files, and where a run starts. For trying things out:
+    fit() takes no sample.
     """
     share, most = min(1.0, PILOT_DOCS / max(1, documents)), max(1, PILOT_BYTES // 64)
     few = train.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text", F.lit(11)).alias("h"))
@@ -378,35 +483,45 @@ def pilot(train: DataFrame, documents: int) -> list[str]:
     return [t for _, t in rows]
 
 
-def start_of(docs: list[str], path: str) -> Model:
-    """Classes, slots and weights from which the trainers start, from the pilot's documents."""
-    vocab, end = vocabulary(path), vocabulary(path) - 1
-    model = Model(path, end, attention.initial(vocab), np.arange(vocab) % attention.CLASSES, np.arange(vocab) % attention.CLASSES)
-    if not docs:
+def start_of(beside: np.ndarray, path: str, inside: np.ndarray | None = None, places: np.ndarray | None = None) -> Model:
+    """Classes, slots and weights from which the trainers start, from the counts of all training words (none: untrained).
+
+    The weights are those of a table of classes after subwords, as far as DIM columns hold it; attention starts at nothing.
+    """
+    vocab, end, k = vocabulary(path), vocabulary(path) - 1, attention.CLASSES
+    model = Model(path, end, attention.initial(vocab), np.arange(vocab) % k, np.arange(vocab) % k)
+    if not len(beside):
         return model
-    words = Words(path)
-    numbers, lens, _, _ = words.numbers(pa.array(docs, pa.string()))
-    first = words.flat[words.start[numbers]]
-    ids, own, counts = words.subwords(numbers)
-    model.classes = attention.cluster(first, lens, np.bincount(first, minlength=vocab), end)
-    model.slots = attention.cluster(ids, np.add.reduceat(counts, np.cumsum(lens) - lens), np.bincount(ids, minlength=vocab), end)
-    mass = np.bincount(model.classes[first], minlength=attention.CLASSES) + 1.0
+    first, inside = inside[vocab * k :], inside[: vocab * k].reshape(vocab, k)
+    beside = beside.reshape(vocab, 2 * CONTEXTS)
+    model.classes = attention.group(beside, first)
+    model.slots = attention.group(inside, inside.sum(axis=1))
+    mass = np.bincount(model.classes, first, k) + 1.0
     model.params["bias"][:] = np.log(mass / mass.sum())
-    fitter, order = Fitter(model.params, words, model.classes), np.random.Generator(np.random.PCG64(1))
-    passes = max(1, min(8, PILOT_WORDS // len(numbers)))
-    for k in range(passes):
-        fitter.fit(numbers, lens, order, 3e-3 * (1 - 0.7 * k / passes))
-        fitter.flush(3e-3 * (1 - 0.7 * k / passes))
+    # what follows: classes of the frequent ones are known, of the others their shares
+    share = np.zeros((CONTEXTS, k))
+    np.add.at(share, (places, model.classes), first)
+    share = (share + 1e-9 * mass) / (share + 1e-9 * mass).sum(axis=1, keepdims=True)
+    near = beside[:, CONTEXTS:] @ share
+    n, usual = near.sum(axis=1, keepdims=True), mass / mass.sum()
+    near = np.log((near + 16 * usual) / ((n + 16) * usual))
+    _, axes = np.linalg.eigh(near.T @ (near * n))
+    axes = axes[:, ::-1][:, : attention.DIM]
+    rows = near @ axes
+    scale = 2 * np.sqrt((rows * rows * n).sum(axis=0) / n.sum()) + 1e-6
+    model.params["emb"][:], model.params["out"][:] = rows / scale, (axes * scale).T
+    model.params["pos"] *= np.float32(0.1)
     return model
 
 
 def fit(docs: DataFrame, scratch: Scratch, path: str | None = None) -> tuple[Model, DataFrame, int]:
     """The model, the training words that are not hot (word, c), and the least count of a hot word.
 
-    All training documents are counted, word by word; their distinct words give the counts of subwords. The classes,
-    slots and weights start from a bounded pilot sample on the driver; then trainers, as many as the training words
-    ask for, stream all training documents, each its own share in the order of a hash, and their weights are averaged
-    by numbers of words. Nothing depends on the number of cores or the order in which rows arrive.
+    All training documents are counted, word by word; their distinct words give the counts of subwords inside words, and
+    a second reading of all documents what stands beside words. From these counts come the classes, the slots and the
+    weights' start; then trainers, as many as the training words ask for, stream all training documents, each its own
+    share in the order of a hash, and their weights are averaged by numbers of words. Nothing comes from a sample, or
+    depends on the number of cores or the order in which rows arrive.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -415,8 +530,8 @@ def fit(docs: DataFrame, scratch: Scratch, path: str | None = None) -> tuple[Mod
     train = docs.where(~fold())
     words = train.select("text").mapInArrow(count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     words = scratch.keep(words, "words")
-    sizes = words.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.sum("c").alias("c"), F.sum(F.when(F.col("word") == "", F.col("c")).otherwise(0)).alias("ends")).collect()  # a few hundred rows
-    n, v, ends = (sum(r[k] for r in sizes) for k in ("c", "n", "ends"))
+    sizes = words.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.sum("c").alias("c")).collect()  # a few hundred rows
+    n, v = (sum(r[k] for r in sizes) for k in ("c", "n"))
     least, held = 1 << 62, 0
     for r in sorted(sizes, key=lambda r: -r["size"]):
         held += r["n"]
@@ -424,8 +539,13 @@ def fit(docs: DataFrame, scratch: Scratch, path: str | None = None) -> tuple[Mod
             break
         least = r["least"]
     hot = words.where(F.col("c") >= least).toArrow()  # at most HOT_WORDS rows
-    model = start_of(pilot(train, ends), path)
+    model = start_of(np.zeros(0), path)
     if n:
+        inside = summed(words, count_inside(path), vocab * (attention.CLASSES + 1))
+        places = np.full(vocab, CONTEXTS - 1)
+        top = np.argsort(-inside[-vocab:], kind="stable")[: CONTEXTS - 1]
+        places[top] = np.arange(len(top))
+        model = start_of(summed(train.select("text"), count_beside(path, places), vocab * 2 * CONTEXTS), path, inside, places)
         tasks = min(TRAINERS, -(-n // TRAINER_WORDS))
         start = sc.broadcast(model)
         mark = F.xxhash64("doc_id", "text", ROW_ID[1])
@@ -440,9 +560,7 @@ def fit(docs: DataFrame, scratch: Scratch, path: str | None = None) -> tuple[Mod
             model.params[name] = flat[at : at + size].reshape(shapes[name]).copy()
             at += size
     sent = sc.broadcast(Model(path, end, {}, model.classes, model.slots))
-    pairs = words.mapInArrow(count_subwords(sent), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most (CLASSES + 1) * (vocabulary + 1) rows
-    counts = np.zeros((attention.CLASSES + 1) * (vocab + 1) + 2 * attention.CLASSES)
-    counts[pairs["at"].to_numpy()] = pairs["n"].to_numpy()
+    counts = summed(words, count_subwords(sent), (attention.CLASSES + 1) * (vocab + 1) + 2 * attention.CLASSES)
     counts, tokens, types = np.split(counts, [-2 * attention.CLASSES, -attention.CLASSES])
     model.begin, model.cont = refine(counts.reshape(attention.CLASSES + 1, vocab + 1), model.classes)
     model.mass, model.left = np.maximum(tokens, 1), np.where(tokens > 0, DISCOUNT * types / np.maximum(tokens, 1), 1.0)
@@ -470,11 +588,20 @@ def score(m: Model, words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 
 _WORDS: dict[str, tuple[Model, Words]] = {}
+_PLAIN: dict[str, Words] = {}
+
+
+def plain_words(path: str) -> Words:
+    """The worker's words without a model."""
+    if path not in _PLAIN:
+        _PLAIN[path] = Words(path)
+    return _PLAIN[path]
 
 
 def known_words(m: Model) -> Words:
     """The worker's words of this model."""
     if m.path not in _WORDS or _WORDS[m.path][0] is not m:
+        _PLAIN.clear()  # training is over
         _WORDS[m.path] = m, Words(m.path, m)
     return _WORDS[m.path][1]
 

@@ -562,3 +562,33 @@ def test_trainers_without_pilot(spark, monkeypatch):
     keep = scoring.Scratch(spark, "t")
     model, _, _ = scoring.fit(scoring.with_row_ids(docs(spark, ["The river runs slowly, the stones stay."] * 40), keep), keep)
     assert np.abs(model.params["wo"]).max() > 0
+
+
+def test_start_from_all_words(spark, monkeypatch):
+    """Classes, slots and the weights' start come from counts of all training words, not from a sample."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["The", "river", "runs", "slowly,", "über", "strawberryfields"]) + rng.choice(["", "", "ing"]) for _ in range(rng.randrange(0, 90))) for _ in range(90)] + [None, ""]
+    path, got = scoring.default_tokenizer(), []
+    monkeypatch.setattr(scoring, "pilot", None)
+    monkeypatch.setattr(scoring, "COUNT_BYTES", 500)
+    start_of = scoring.start_of
+    monkeypatch.setattr(scoring, "start_of", lambda *a: got.append((a, start_of(*a))) or got[-1][1])
+    keep, rows = scoring.Scratch(spark, "t"), docs(spark, texts).repartition(3)
+    model, _, _ = scoring.fit(scoring.with_row_ids(rows, keep), keep)
+    (beside, _, inside, places), start = got[-1]
+    enc, vocab, end, k = scoring.encoding(path)[0], scoring.vocabulary(path), scoring.vocabulary(path) - 1, attention.CLASSES
+    train = [[*(enc.encode_ordinary(" " + w) for w in (t or "").translate(LOWER).split()), [end]] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    first = Counter(w[0] for t in train for w in t)
+    top = sorted(first, key=lambda i: (-first[i], i))[: scoring.CONTEXTS - 1]
+    assert {i: places[i] for i in top} == {i: j for j, i in enumerate(top)}
+    want, within = Counter(), Counter((vocab * k + i) for t in train for i in [w[0] for w in t])
+    for t in train:
+        for j, word in enumerate(t):
+            for i in word:
+                want[i * 2 * scoring.CONTEXTS + places[t[j - 1][0]]] += 1
+                want[i * 2 * scoring.CONTEXTS + scoring.CONTEXTS + places[t[(j + 1) % len(t)][0]]] += 1
+            if word != [end]:
+                within.update(a * k + (b % (k - 1) if b >= 0 else k - 1) for a, b in zip(word, [*word[1:], -1]))
+    assert {i: beside[i] for i in np.flatnonzero(beside).tolist()} == want
+    assert {i: inside[i] for i in np.flatnonzero(inside).tolist()} == within
+    assert (model.classes == start.classes).all() and (model.slots == start.slots).all() and len(set(model.classes[list(first)].tolist())) > 1
