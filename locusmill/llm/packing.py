@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.llm.common import Scratch, parts_of, running_total, split_words
+from locusmill.llm.common import Scratch, parts_of, room, running_total, split_words
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker remembers; forgetting changes no result.
@@ -34,7 +35,8 @@ WORD = re.compile(f"^(?:([{LETTERS}]+)([{re.escape(MARKS)}]*)|(.+))$", re.M)
 
 
 class WordIds:
-    """Little-endian ids of the words between white space, remembered in two generations of CACHE_WORDS / 2.
+    """Little-endian ids of the words between white space, remembered by word in two generations of CACHE_WORDS / 2, or
+    by number up to CACHE_WORDS.
 
     The tokenizer never joins across white space, so a text's ids are its words' ids in a row. New words of plain
     letters go to it many at a time, in lower case, and are told apart by its ends of words; marks at a word's end go
@@ -60,7 +62,11 @@ class WordIds:
         self.head: Callable[[bytes], bytes] | None = None
         self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        #: Words by number: where each one's ids begin in flat, and how many there are.
+        self.place: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 14, "<u4"), 0
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.plain: dict[str, bytes] = {"": b""}
         self.marks: dict[str, bytes] = {"": b""}
 
     def headed(self, head: Callable[[bytes], bytes] | None) -> None:
@@ -84,31 +90,53 @@ class WordIds:
         """A mapping that holds all of words."""
         if len(self.now) >= CACHE_WORDS // 2:
             self.now, self.old = {}, self.now
-        if len(self.plain) >= CACHE_WORDS:
-            self.plain = {}
-        if len(self.marks) >= 10_000:
-            self.marks = {"": b""}
         now, old = self.now, self.old
         new = words.difference(now)
         known = new.intersection(old)
         now.update(zip(known, map(old.__getitem__, known)))
         new = list(new - known)
-        if not new:
-            return now
+        if new:
+            ids = self.encoded(new)
+            now.update(zip(new, map(operator.add, map(self.head, new), ids) if self.head else ids, strict=True))
+        return now
+
+    def encoded(self, new: list[bytes]) -> list[bytes]:
+        """The ids of words, in their order."""
+        if len(self.plain) >= CACHE_WORDS:
+            self.plain = {"": b""}
+        if len(self.marks) >= 10_000:
+            self.marks = {"": b""}
         gc.disable()  # tuples of texts only: nothing to collect, however many
         bases, tails, odd = zip(*WORD.findall(b"\n".join(new).decode("utf-8", "replace")), strict=True)
         gc.enable()
+        lower = bases if self.spaced else "\n".join(bases).lower().split("\n")
+        self.encode_plain(list(set(lower).difference(self.plain)))
+        for tail in set(tails).difference(self.marks):
+            self.marks[tail] = self.one(tail, True)
+        out = list(map(operator.add, map(self.plain.__getitem__, lower), map(self.marks.__getitem__, tails)))
         if any(odd):
-            now.update((w, (self.head(w) if self.head else b"") + self.one(o)) for w, o in zip(new, odd, strict=True) if o)
-            new, bases, tails = zip(*((w, b, t) for w, b, t, o in zip(new, bases, tails, odd, strict=True) if not o), strict=True) if not all(odd) else ((), (), ())
-        if new:
-            lower = bases if self.spaced else "\n".join(bases).lower().split("\n")
-            self.encode_plain(list(set(lower).difference(self.plain)))
-            for tail in set(tails).difference(self.marks):
-                self.marks[tail] = self.one(tail, True)
-            ids = map(operator.add, map(self.plain.__getitem__, lower), map(self.marks.__getitem__, tails))
-            now.update(zip(new, map(operator.add, map(self.head, new), ids) if self.head else ids, strict=True))
-        return now
+            for i, word in enumerate(odd):
+                if word:
+                    out[i] = self.one(word)
+        return out
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words, which hold until the next call."""
+        if len(self.place) >= CACHE_WORDS:
+            self.place, self.used = {}, 0
+        out = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = [words[i] for i in at.tolist()]
+            ids, n = self.encoded(new), len(self.place)
+            counts, data = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
+            out[at] = np.arange(n, n + len(new))
+            self.place.update(zip(new, range(n, n + len(new)), strict=True))
+            self.start, self.count, self.flat = room(self.start, n + len(new)), room(self.count, n + len(new)), room(self.flat, self.used + len(data))
+            self.start[n : n + len(new)], self.count[n : n + len(new)] = self.used + np.cumsum(counts) - counts, counts
+            self.flat[self.used : self.used + len(data)] = data
+            self.used += len(data)
+        return out
 
 
 _WORDS: dict[tuple[str, bool], WordIds] = {}
@@ -130,15 +158,12 @@ def text_ids(known: WordIds, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
     """Ids of texts one after another, and where each text's begin and the last one's end; each distinct word is looked up once."""
     flat, lens = split_words(texts)
     coded = flat.dictionary_encode()
-    names = coded.dictionary.cast(pa.binary()).to_pylist()
-    ids = known.prepare(set(names))
-    parts = [ids[w] for w in names]
-    counts = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-    every, start = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(counts) - counts
-    at = coded.indices.to_numpy()
-    n = counts[at]
+    at = known.numbers(coded.dictionary.cast(pa.binary()).to_pylist()).take(coded.indices.to_numpy())
+    n = known.count.take(at)
     ends = np.append(0, np.cumsum(n))
-    seq = every[np.arange(int(ends[-1])) + np.repeat(start[at] - ends[:-1], n)]
+    where = np.repeat(known.start.take(at) - ends[:-1], n)
+    where += np.arange(len(where))
+    seq = known.flat.take(where)
     return seq, ends[np.append(0, np.cumsum(lens))].tolist()
 
 

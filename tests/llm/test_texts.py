@@ -592,3 +592,27 @@ def test_start_from_all_words(spark, monkeypatch):
     assert {i: beside[i] for i in np.flatnonzero(beside).tolist()} == want
     assert {i: inside[i] for i in np.flatnonzero(inside).tolist()} == within
     assert (model.classes == start.classes).all() and (model.slots == start.slots).all() and len(set(model.classes[list(first)].tolist())) > 1
+
+
+def test_ids_by_number(monkeypatch):
+    """Ids found by words' numbers are those of whole texts, each new word is encoded once, and forgetting changes nothing."""
+    path, asked = packing.default_tokenizer(), []
+    known = packing.WordIds(path)
+    encoded = known.encoded
+    monkeypatch.setattr(known, "encoded", lambda new: asked.extend(new) or encoded(new))
+    texts = [*TEXTS, "", None, "don't Ünder x (stone), stone. STONE \U0001f600!", *(f"w{i} stone{i % 3}, rivers" for i in range(90))]
+
+    def check() -> None:
+        for k in range(0, len(texts), 7):
+            seq, bounds = packing.text_ids(known, scoring.pa.array(texts[k : k + 7], scoring.pa.string()))
+            for t, a, b in zip(texts[k : k + 7], bounds, bounds[1:]):
+                assert seq[a:b].tolist() == known.tok.encode(t or "", add_special_tokens=False).ids
+
+    check()
+    once = len(asked)
+    assert once == len(set(asked)) > 90
+    check()
+    assert len(asked) == once
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    check()
+    assert len(asked) > once and len(known.place) <= 20 + 7 * max(len((t or "").split()) for t in texts)
