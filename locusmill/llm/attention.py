@@ -68,7 +68,7 @@ def hidden(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False):
     qkv = (flat @ fused(p)).reshape(b, t, 3 * d)
     q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, 30, out=a)  # keeps exp in range without a pass for the maximum
+    np.clip(a, -60, 30, out=a)  # keeps exp in range, and its sums above 0, without a pass for the maximum
     a += causal(t)
     np.exp(a, out=a)
     a /= (a.reshape(b * t, t) @ np.ones(t, a.dtype)).reshape(b, t, 1)
@@ -113,7 +113,7 @@ def log_scores(p: dict[str, np.ndarray], w: Windows, table: np.ndarray, classes:
         h = h.reshape(b * t, d)
         qkv = (h @ qkv_w).reshape(b, t, 3 * d)
         a = np.matmul(qkv[:, :, :d], qkv[:, :, d : 2 * d].transpose(0, 2, 1))
-        np.minimum(a, 30, out=a)
+        np.clip(a, -60, 30, out=a)
         a += mask
         np.exp(a, out=a)
         mixed = np.matmul(a, qkv[:, :, 2 * d :])

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm import attention
-from locusmill.llm.common import ROW_ID, Scratch, parts_of, split_words, with_row_ids
+from locusmill.llm.common import ROW_ID, Scratch, parts_of, room, split_words, with_row_ids
 
 FOLDS, HELD_OUT = 5, 1
 #: What each word's count in its class is discounted by.
@@ -37,7 +38,7 @@ PILOT_BYTES, PILOT_DOCS = 6 << 20, 1500
 #: Most frequent first subwords, and one place for all others, that tell subwords apart by what stands beside their words.
 CONTEXTS = 128
 #: Bytes of text whose words are counted at a time, and cells of a block of counts.
-COUNT_BYTES, CELLS = 32 << 20, 1 << 18
+COUNT_BYTES, CELLS = 12 << 20, 1 << 18
 #: Training words for each trainer, and trainers at most: by the corpus alone, so that scores don't depend on the cluster.
 TRAINER_WORDS, TRAINERS = 3_000_000, 4096
 #: Windows of a step, subwords after which their rows are stepped, and the trainers' rate.
@@ -147,7 +148,7 @@ class Words(dict):
         flat, lens = split_words(texts, lower=True)
         coded = flat.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        known = np.fromiter((self.get(w, -1) for w in names), np.int64, len(names))
+        known = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = np.arange(self.n, self.n + len(new))
@@ -176,7 +177,7 @@ class Words(dict):
             lp = m.cont[m.slots[np.roll(ids, 1)], ids].astype(np.float64)
             lp[own] = m.begin[ids[own]]
             lp = np.add.reduceat(lp, own) + (0 if new == [""] else m.cont[m.slots[ids[own + counts - 1]], -1]) + np.log(m.left[first])
-            c = np.fromiter((m.hot.get(w, 0) for w in new), np.float64, len(new))
+            c = np.fromiter(map(m.hot.get, new, repeat(0)), np.float64, len(new))
             share = np.maximum(c - DISCOUNT, 0) / m.mass[first]
             self.rows[self.n : n], self.first[self.n : n], self.hot[self.n : n] = means(m.params["emb"], ids, own, counts), first, c
             self.within[self.n : n] = np.where(c > 0, np.log(np.maximum(share + np.exp(lp), 1e-300)), lp)
@@ -189,10 +190,6 @@ class Words(dict):
         return self.flat[np.arange(int(counts.sum())) + np.repeat(self.start[numbers] - own, counts)], own, counts
 
 
-def room(x: np.ndarray, n: int) -> np.ndarray:
-    return x if n <= len(x) else np.concatenate([x, np.zeros((max(n, 2 * len(x)) - len(x), *x.shape[1:]), x.dtype)])
-
-
 def means(emb: np.ndarray, ids: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(emb[ids], own, axis=0) / counts[:, None].astype(np.float32)
 
@@ -295,7 +292,7 @@ def count_beside(path: str, places: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = plain_words(path)
-        n = np.zeros(len(places) * 2 * CONTEXTS, np.int32)  # a task's texts are far fewer than 2**31 words
+        n, one = np.zeros(len(places) * 2 * CONTEXTS, np.int32), np.int32(1)  # a task's texts are far fewer than 2**31 words
         for batch in batches:
             for lo, hi in parts_of(batch.column(0), 4 << 20):
                 numbers, lens, _, _ = words.numbers(batch.column(0).slice(lo, hi - lo))
@@ -305,21 +302,20 @@ def count_beside(path: str, places: np.ndarray):
                 before[ends - lens + 1] = places[-1]
                 after[ends] = place[ends - lens + 1]
                 ids, _, counts = words.subwords(numbers)
-                np.add.at(n, ids * (2 * CONTEXTS) + np.repeat(before, counts), 1)
-                np.add.at(n, ids * (2 * CONTEXTS) + CONTEXTS + np.repeat(after, counts), 1)
+                np.add.at(n, ids * (2 * CONTEXTS) + np.repeat(before, counts), one)
+                np.add.at(n, ids * (2 * CONTEXTS) + CONTEXTS + np.repeat(after, counts), one)
         yield packed(n)
 
     return run
 
 
 class Fitter:
-    """Adam over the windows of words: at each step for all but the subwords' rows, for these after ROWS_AFTER subwords."""
+    """Adam over the windows of words: at each step for all but the subwords' rows, for these after about ROWS_AFTER subwords."""
 
     def __init__(self, params: dict[str, np.ndarray], words: Words, classes: np.ndarray):
         self.p, self.words, self.classes = params, words, classes
         self.small = attention.Adam(params, attention.NAMES[1:])
         self.rows = attention.Adam(params, ("emb",))
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.losses: list[float] = []
 
     def fit(self, numbers: np.ndarray, lens: np.ndarray, order: np.random.Generator, rate: float) -> None:
@@ -327,24 +323,37 @@ class Fitter:
         w = attention.windows(numbers, lens, 0, stride=attention.WINDOW)
         first = self.classes[self.words.flat[self.words.start[: self.words.n]]]
         deal = order.permutation(len(w.inputs))
-        for k in range(0, len(deal), STEP):
-            i = deal[k : k + STEP]
-            ids, own, counts = self.words.subwords(w.inputs[i].ravel())
-            x = means(self.p["emb"], ids, own, counts).reshape(len(i), -1, attention.DIM)
-            loss, g = attention.gradients(self.p, x, first[w.targets[i]], w.scored[i])
-            self.small.step(g, rate)
+        steps = [deal[k : k + STEP] for k in range(0, len(deal), STEP)]
+        turns = min(len(steps), max(1, int(self.words.count[w.inputs].sum()) // ROWS_AFTER))
+        for t in range(turns):
+            self.turn(w, first, steps[t * len(steps) // turns : (t + 1) * len(steps) // turns], rate)
+
+    def turn(self, w: attention.Windows, first: np.ndarray, steps: list[np.ndarray], rate: float) -> None:
+        """Steps with the same subwords' rows, then one of these rows: each distinct word's mean and sum are taken once."""
+        inputs = w.inputs[np.concatenate(steps)]
+        here = np.zeros(self.words.n, bool)
+        here[inputs] = True
+        distinct = np.flatnonzero(here)
+        place = np.zeros(self.words.n, np.int64)
+        place[distinct] = np.arange(len(distinct))
+        at = place[inputs]
+        ids, own, counts = self.words.subwords(distinct)
+        rows = means(self.p["emb"], ids, own, counts)
+        g = np.empty((*at.shape, attention.DIM), np.float32)
+        k = 0
+        for i in steps:
+            loss, own_g = attention.gradients(self.p, rows.take(at[k : k + len(i)], axis=0), first[w.targets[i]], w.scored[i])
+            self.small.step(own_g, rate)
             self.losses.append(loss)
-            self.held.append((ids, np.repeat(g["rows"] / counts[:, None].astype(np.float32), counts, axis=0)))
-            if sum(len(x) for x, _ in self.held) >= ROWS_AFTER:
-                self.flush(rate)
+            g[k : k + len(i)] = own_g["rows"].reshape(len(i), -1, attention.DIM)
+            k += len(i)
+        each = sums(at.ravel(), g.reshape(-1, attention.DIM), len(distinct)) / counts
+        self.rows.step({"emb": sums(ids, np.repeat(each, counts, axis=1).T, len(self.p["emb"])).T.astype(np.float32, order="C")}, rate)
+
 
-    def flush(self, rate: float) -> None:
-        if self.held:
-            ids = np.concatenate([x for x, _ in self.held])
-            g = np.concatenate([x for _, x in self.held])
-            n = len(self.p["emb"])
-            self.rows.step({"emb": np.stack([np.bincount(ids, g[:, k], n) for k in range(g.shape[1])], axis=1).astype(np.float32)}, rate)
-            self.held.clear()
+def sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Column by column, the sums of the rows of x by their place, (columns, n)."""
+    return np.stack([np.bincount(at, column, n) for column in np.ascontiguousarray(x.T, np.float64)])
 
 
 def trainer(model, seed: int):
@@ -352,7 +361,6 @@ def trainer(model, seed: int):
     sent model's start; gives its weights as blocks of float32 with the number of its words."""
 
     def weights(of: int, fitter: Fitter, n: int) -> pa.RecordBatch:
-        fitter.flush(RATE)
         flat = np.concatenate([fitter.p[k].ravel() for k in attention.NAMES])
         parts = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
         return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([of] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "of", "n", "data"])
@@ -383,7 +391,7 @@ def trainer(model, seed: int):
                     order = np.random.Generator(np.random.PCG64(seed + of))
                 held.append(text or "")
                 size += len(held[-1])
-                if size >= 1 << 21:
+                if size >= 1 << 22:
                     step()
                     size = 0
         if held:
@@ -509,7 +517,7 @@ def start_of(beside: np.ndarray, path: str, inside: np.ndarray | None = None, pl
     axes = axes[:, ::-1][:, : attention.DIM]
     rows = near @ axes
     scale = 2 * np.sqrt((rows * rows * n).sum(axis=0) / n.sum()) + 1e-6
-    model.params["emb"][:], model.params["out"][:] = rows / scale, (axes * scale).T
+    model.params["emb"][:], model.params["out"][:] = np.clip(rows / scale, -3, 3), (axes * scale).T  # rare ones may lie far out
     model.params["pos"] *= np.float32(0.1)
     return model
 
@@ -594,6 +602,7 @@ _PLAIN: dict[str, Words] = {}
 def plain_words(path: str) -> Words:
     """The worker's words without a model."""
     if path not in _PLAIN:
+        _WORDS.clear()  # of another run
         _PLAIN[path] = Words(path)
     return _PLAIN[path]
 
@@ -614,7 +623,7 @@ def scorer(model):
         m = model.value
         words = known_words(m)
         for batch in batches:
-            for lo, hi in parts_of(batch.column(3), 2 << 20):
+            for lo, hi in parts_of(batch.column(3), 4 << 20):
                 part = batch.slice(lo, hi - lo)
                 n, known, base, s, others = score(m, words, part.column(3))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *(pa.array(x) for x in (n, known, base, s)), others], names=["doc_id", *ROW_ID, "n_tokens", "hot", "base", "score", "rare"])

@@ -594,6 +594,28 @@ def test_start_from_all_words(spark, monkeypatch):
     assert (model.classes == start.classes).all() and (model.slots == start.slots).all() and len(set(model.classes[list(first)].tolist())) > 1
 
 
+def test_rows_by_distinct_word(monkeypatch):
+    """Within a turn each distinct word's mean is taken once, and the subwords' gradient is the sum over all positions."""
+    path, made, seen, sent = scoring.default_tokenizer(), [], [], []
+    means, gradients = scoring.means, attention.gradients
+    monkeypatch.setattr(scoring, "means", lambda emb, ids, own, counts: made.append(len(counts)) or means(emb, ids, own, counts))
+    monkeypatch.setattr(attention, "gradients", lambda *a: seen.append(gradients(*a)) or seen[-1])
+    monkeypatch.setattr(attention.Adam, "step", lambda self, g, rate: sent.append(g) if "emb" in g else None)
+    words = scoring.Words(path)
+    numbers, lens, _, _ = words.numbers(scoring.pa.array([" ".join(f"strawberryfields{k % 5} stone" for k in range(n)) for n in (400, 7, 0, 3000)]))
+    model = scoring.start_of([], path)
+    fitter = scoring.Fitter(model.params, words, model.classes)
+    fitter.fit(numbers, lens, np.random.Generator(np.random.PCG64(1)), 0.001)
+    assert len(made) == len(sent) == 1 and made[0] <= 7 and len(seen) > 1
+    w = attention.windows(numbers, lens, 0, stride=attention.WINDOW)
+    deal = np.random.Generator(np.random.PCG64(1)).permutation(len(w.inputs))
+    want = np.zeros_like(model.params["emb"], dtype=np.float64)
+    for number, row in zip(w.inputs[deal].ravel(), np.concatenate([g["rows"] for _, g in seen])):
+        ids = words.subwords(np.array([number]))[0]
+        np.add.at(want, ids, row / len(ids))
+    assert sent[0]["emb"] == pytest.approx(want, abs=1e-6)
+
+
 def test_ids_by_number(monkeypatch):
     """Ids found by words' numbers are those of whole texts, each new word is encoded once, and forgetting changes nothing."""
     path, asked = packing.default_tokenizer(), []
@@ -616,3 +638,15 @@ def test_ids_by_number(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 20)
     check()
     assert len(asked) > once and len(known.place) <= 20 + 7 * max(len((t or "").split()) for t in texts)
+
+
+def test_far_rows_stay_finite():
+    """Rows that lie far out give finite probabilities and gradients."""
+    p = attention.initial(30)
+    p["emb"] *= 100
+    rng = np.random.default_rng(5)
+    w = attention.windows(rng.integers(0, 29, 170), np.array([150, 20]), 29)
+    classes = np.arange(30) % attention.CLASSES
+    loss, g = attention.gradients(p, p["emb"][w.inputs], classes[w.targets], w.scored)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+    assert np.isfinite(attention.log_scores(p, w, p["emb"], classes, np.zeros(30))).all()
