@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,21 +76,22 @@ def vocabulary(path: str) -> int:
 OTHER_SPACE = re.compile(r"[^\S \t\n\v\f\r]")
 
 
-def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(path: str, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Subwords of words, each as after a space, one after another, and how many each has.
 
     Many are encoded at a time, their ends being where a token begins with a space; words that hold other white space
-    are encoded one by one, lest they meet their neighbours.
+    are encoded one by one, lest they meet their neighbours. Arrow joins them, so no word becomes a Python string.
     """
     enc, edge = encoding(path)
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
     ids, counts = [], []
     for k in range(0, len(words), 5000):
-        part = words[k : k + 5000]
-        text = " " + " ".join(part)
+        part = words.slice(k, 5000)
+        text = " " + pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(part)], pa.int64()), part), " ")[0].as_py()
         own = enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64) if not OTHER_SPACE.search(text) else np.zeros(0, np.int64)
         at = np.flatnonzero(edge[own])
         if len(at) != len(part):
-            each = [enc.encode_ordinary(" " + w) for w in part]
+            each = [enc.encode_ordinary(" " + w) for w in part.to_pylist()]
             own, at = np.array(sum(each, []), dtype=np.int64), np.cumsum([0, *map(len, each[:-1])])
         ids.append(own)
         counts.append(np.diff(np.append(at, len(own))))
@@ -123,48 +123,58 @@ class Model:
     vocabulary: int = 0
 
 
-class Words(dict):
-    """Numbers of words, in the order in which they come, with their subwords; the empty word, number 0, is the end."""
+class Words:
+    """Numbers of words, in the order in which they come, with their subwords; the empty word, number 0, is the end.
+
+    The words lie in one Arrow array, in which Arrow finds those of a slice of texts.
+    """
 
     def __init__(self, path: str, model: Model | None = None):
         self.path, self.end, self.model = path, vocabulary(path) - 1, model
+        if model:
+            self.hot_words, self.hot_counts = pa.array(model.hot, pa.string()), np.fromiter([*model.hot.values(), 0], np.float64)
         self.reset()
 
+    def __getitem__(self, word: str) -> int:
+        at = pc.index(self.names, word).as_py()
+        if at < 0:
+            raise KeyError(word)
+        return at
+
     def reset(self) -> None:
-        self.clear()
-        self.n = 0
+        self.names, self.n = pa.array([], pa.string()), 0
         self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.int64), 0
         if self.model:
             self.rows = np.zeros((1 << 12, attention.DIM), np.float32)
             self.first, self.within, self.hot = np.zeros(1 << 12, np.int64), np.zeros(1 << 12), np.zeros(1 << 12)  # class, log probability in it, count
-        self.add([""])
+        self.add(pa.array([""]))
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Numbers of the words of texts, each text's followed by the end, and how many there are of each; the distinct
         words, and the place of each word among them (-1: the end)."""
-        if len(self) > CACHE_WORDS:
+        if self.n > CACHE_WORDS:
             self.reset()
         flat, lens = split_words(texts, lower=True)
         coded = flat.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        known = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
+        names = coded.dictionary.cast(pa.string())
+        known = places_in(names, self.names).astype(np.int64)
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = np.arange(self.n, self.n + len(new))
-            self.add([names[i] for i in new.tolist()])
+            self.add(names.take(pa.array(new)))
         lens = lens + 1
         out, at = np.zeros(int(lens.sum()), np.int64), np.full(int(lens.sum()), -1, np.int64)
         here = np.ones(len(out), bool)
         here[np.cumsum(lens) - 1] = False
         at[here] = coded.indices.to_numpy()
         out[here] = known[at[here]]
-        return out, lens, coded.dictionary, at
+        return out, lens, names, at
 
-    def add(self, new: list[str]) -> None:
-        n = self.n + len(new)
-        self.update(zip(new, range(self.n, n), strict=True))
-        ids, counts = (np.array([self.end]), np.array([1])) if new == [""] else encode_words(self.path, new)
+    def add(self, new: pa.Array) -> None:
+        n, ends = self.n + len(new), self.n == 0
+        self.names = pa.concat_arrays([self.names, new])
+        ids, counts = (np.array([self.end]), np.array([1])) if ends else encode_words(self.path, new)
         for name in ("start", "count", *(("rows", "first", "within", "hot") if self.model else ())):
             setattr(self, name, room(getattr(self, name), n))
         self.flat = room(self.flat, self.used + len(ids))
@@ -176,8 +186,8 @@ class Words(dict):
             first = m.classes[ids[own]]
             lp = m.cont[m.slots[np.roll(ids, 1)], ids].astype(np.float64)
             lp[own] = m.begin[ids[own]]
-            lp = np.add.reduceat(lp, own) + (0 if new == [""] else m.cont[m.slots[ids[own + counts - 1]], -1]) + np.log(m.left[first])
-            c = np.fromiter(map(m.hot.get, new, repeat(0)), np.float64, len(new))
+            lp = np.add.reduceat(lp, own) + (0 if ends else m.cont[m.slots[ids[own + counts - 1]], -1]) + np.log(m.left[first])
+            c = self.hot_counts[places_in(new, self.hot_words)]
             share = np.maximum(c - DISCOUNT, 0) / m.mass[first]
             self.rows[self.n : n], self.first[self.n : n], self.hot[self.n : n] = means(m.params["emb"], ids, own, counts), first, c
             self.within[self.n : n] = np.where(c > 0, np.log(np.maximum(share + np.exp(lp), 1e-300)), lp)
@@ -190,6 +200,11 @@ class Words(dict):
         return self.flat[np.arange(int(counts.sum())) + np.repeat(self.start[numbers] - own, counts)], own, counts
 
 
+def places_in(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word lies in among, -1 where it doesn't."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
+
+
 def means(emb: np.ndarray, ids: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(emb[ids], own, axis=0) / counts[:, None].astype(np.float32)
 
@@ -273,7 +288,7 @@ def count_inside(path: str):
             names, c = batch.column(0), batch.column(1).to_numpy()
             plain = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
             n[vocab * k + vocab - 1] += c[~plain].sum()
-            ids, counts = encode_words(path, names.filter(pa.array(plain)).to_pylist())
+            ids, counts = encode_words(path, names.filter(pa.array(plain)))
             if not len(ids):
                 continue
             c, own = c[plain], np.cumsum(counts) - counts
@@ -429,13 +444,13 @@ def count_subwords(model):
         m = model.value
         size = len(m.slots) + 1
         n = np.zeros((attention.CLASSES + 1) * size + 2 * attention.CLASSES)
-        seen: list[str] = []
-        counts: list[int] = []
+        held: list[pa.RecordBatch] = []
 
         def add() -> None:
-            ids, k = encode_words(m.path, [w for w in seen if w])
-            c = np.array([x for w, x in zip(seen, counts, strict=True) if w], dtype=np.float64)
-            ends = sum(x for w, x in zip(seen, counts, strict=True) if not w)
+            names, c = pa.concat_arrays([b.column(0) for b in held]), np.concatenate([b.column(1).to_numpy() for b in held]).astype(np.float64)
+            plain = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+            ids, k = encode_words(m.path, names.filter(pa.array(plain)))
+            c, ends = c[plain], c[~plain].sum()
             end = size - 2
             own = np.cumsum(k) - k
             slot = m.slots[np.roll(ids, 1)]
@@ -445,15 +460,13 @@ def count_subwords(model):
             n[attention.CLASSES * size + end] += ends
             of = np.append(m.classes[ids[own]], [m.classes[end]] * bool(ends)).astype(np.int64)
             n[-2 * attention.CLASSES :] += np.concatenate([np.bincount(of, np.append(c, [ends] * bool(ends)), attention.CLASSES), np.bincount(of, minlength=attention.CLASSES)])
-            seen.clear()
-            counts.clear()
+            held.clear()
 
         for batch in batches:
-            seen.extend(batch.column(0).to_pylist())
-            counts.extend(batch.column(1).to_pylist())
-            if len(seen) > 20_000:
+            held.append(batch)
+            if sum(map(len, held)) > 20_000:
                 add()
-        if seen:
+        if held:
             add()
         yield packed(n)
 
@@ -587,7 +600,7 @@ def score(m: Model, words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
     first = np.cumsum(lens) - lens
     rare = np.flatnonzero(~is_hot)
     own = numbers[rare]
-    word = pc.fill_null(names.cast(pa.string()).take(pa.array(at[rare], mask=at[rare] < 0)), "")
+    word = pc.fill_null(names.take(pa.array(at[rare], mask=at[rare] < 0)), "")
     one = lp[rare] - words.within[own] - np.log(m.mass[words.first[own]])
     flat = pa.StructArray.from_arrays([word, pa.array(lp[rare], pa.float64()), pa.array(one, pa.float64())], names=["word", "lp", "one"])
     others = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.append(first, len(numbers))), pa.int32()), flat)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -616,6 +617,27 @@ def test_rows_by_distinct_word(monkeypatch):
     assert sent[0]["emb"] == pytest.approx(want, abs=1e-6)
 
 
+def test_words_by_arrow(monkeypatch):
+    """Words get their numbers and subwords without becoming Python strings, each once; numbers follow the order in which they come."""
+    path, asked, seen = scoring.default_tokenizer(), [], {"": 0}
+    encode = scoring.encode_words
+    monkeypatch.setattr(scoring, "encode_words", lambda path, new: asked.append(new) or encode(path, new))
+    words = scoring.Words(path)
+    texts = ["The a\u00a0b river", "", None, "x\x1cy don't THE ü", *(f"w{i} stone{i % 3} river" for i in range(40)), "y" * 400 + " \U0001f600"]
+    for k in range(0, len(texts), 9):
+        part = texts[k : k + 9]
+        numbers, lens, names, at = words.numbers(scoring.pa.array(part, scoring.pa.string()))
+        low = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), ""] for t in part]
+        want = [seen.setdefault(w, len(seen)) for t in low for w in t]
+        assert numbers.tolist() == want and lens.tolist() == list(map(len, low))
+        assert [names[i].as_py() if i >= 0 else "" for i in at.tolist()] == [w for t in low for w in t]
+    assert all(isinstance(new, scoring.pa.Array) for new in asked)
+    assert [w for new in asked for w in new.to_pylist()] == list(seen)[1:]
+    for w, n in seen.items():
+        assert words[w] == n
+        assert words.subwords(np.array([n]))[0].tolist() == (scoring.encoding(path)[0].encode_ordinary(" " + w) if w else [words.end])
+
+
 def test_ids_by_number(monkeypatch):
     """Ids found by words' numbers are those of whole texts, each new word is encoded once, and forgetting changes nothing."""
     path, asked = packing.default_tokenizer(), []
