@@ -30,8 +30,8 @@ FOLDS, HELD_OUT = 5, 1
 DISCOUNT = 0.75
 #: Most words whose counts are sent to all workers; those of the others come by a join, to the same scores.
 HOT_WORDS = 1 << 17
-#: Words that a worker remembers; forgetting changes no result.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers, and their bytes; forgetting changes no result.
+CACHE_WORDS, CACHE_BYTES = 300_000, 64 << 20
 #: Bytes and number of the documents of pilot(), of which no score depends.
 PILOT_BYTES, PILOT_DOCS = 6 << 20, 1500
 #: Most frequent first subwords, and one place for all others, that tell subwords apart by what stands beside their words.
@@ -145,21 +145,36 @@ class Words:
         self.names, self.n = pa.array([], pa.string()), 0
         self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.int64), 0
+        self.again = np.zeros(1 << 12, bool)  # came in a later slice, too
         if self.model:
             self.rows = np.zeros((1 << 12, attention.DIM), np.float32)
             self.first, self.within, self.hot = np.zeros(1 << 12, np.int64), np.zeros(1 << 12), np.zeros(1 << 12)  # class, log probability in it, count
         self.add(pa.array([""]))
 
+    def forget(self) -> None:
+        """Keep the end and the words that came again, if they are no more than half of what may be remembered."""
+        self.again[0] = True
+        keep = np.flatnonzero(self.again[: self.n])
+        names = self.names.take(pa.array(keep))
+        if len(keep) > CACHE_WORDS // 2 or names.nbytes > CACHE_BYTES // 2:
+            self.reset()
+            return
+        self.flat, self.start, self.count = self.subwords(keep)
+        self.names, self.n, self.used, self.again = names, len(keep), len(self.flat), np.zeros(len(keep), bool)
+        if self.model:
+            self.rows, self.first, self.within, self.hot = self.rows[keep], self.first[keep], self.within[keep], self.hot[keep]
+
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Numbers of the words of texts, each text's followed by the end, and how many there are of each; the distinct
         words, and the place of each word among them (-1: the end)."""
-        if self.n > CACHE_WORDS:
-            self.reset()
+        if self.n > CACHE_WORDS or self.names.nbytes > CACHE_BYTES:
+            self.forget()
         flat, lens = split_words(texts, lower=True)
         coded = flat.dictionary_encode()
         names = coded.dictionary.cast(pa.string())
         known = places_in(names, self.names).astype(np.int64)
         new = np.flatnonzero(known < 0)
+        self.again[known[known >= 0]] = True
         if len(new):
             known[new] = np.arange(self.n, self.n + len(new))
             self.add(names.take(pa.array(new)))
@@ -175,7 +190,7 @@ class Words:
         n, ends = self.n + len(new), self.n == 0
         self.names = pa.concat_arrays([self.names, new])
         ids, counts = (np.array([self.end]), np.array([1])) if ends else encode_words(self.path, new)
-        for name in ("start", "count", *(("rows", "first", "within", "hot") if self.model else ())):
+        for name in ("start", "count", "again", *(("rows", "first", "within", "hot") if self.model else ())):
             setattr(self, name, room(getattr(self, name), n))
         self.flat = room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
@@ -206,7 +221,21 @@ def places_in(words: pa.Array, among: pa.Array) -> np.ndarray:
 
 
 def means(emb: np.ndarray, ids: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(emb[ids], own, axis=0) / counts[:, None].astype(np.float32)
+    """Means of words' rows of emb: by the subwords' place in the word, and of long words one after another."""
+    out = emb.take(ids.take(own), axis=0)
+    at = np.flatnonzero((counts > 1) & (counts <= 16))
+    for k in range(1, 16):
+        if not len(at):
+            break
+        out[at] += emb.take(ids.take(own[at] + k), axis=0)
+        at = at[counts[at] > k + 1]
+    at = np.flatnonzero(counts > 16)
+    if len(at):
+        n = counts[at]
+        begin = np.cumsum(n) - n
+        out[at] = np.add.reduceat(emb.take(ids.take(np.arange(int(n.sum())) + np.repeat(own[at] - begin, n)), axis=0), begin, axis=0)
+    out /= counts[:, None].astype(np.float32)
+    return out
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +392,10 @@ class Fitter:
             g[k : k + len(i)] = own_g["rows"].reshape(len(i), -1, attention.DIM)
             k += len(i)
         each = sums(at.ravel(), g.reshape(-1, attention.DIM), len(distinct)) / counts
-        self.rows.step({"emb": sums(ids, np.repeat(each, counts, axis=1).T, len(self.p["emb"])).T.astype(np.float32, order="C")}, rate)
+        of, emb = np.repeat(np.arange(len(distinct)), counts), np.empty_like(self.p["emb"])
+        for k, column in enumerate(each):
+            emb[:, k] = np.bincount(ids, column.take(of), len(emb))
+        self.rows.step({"emb": emb}, rate)
 
 
 def sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:

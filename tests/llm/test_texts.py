@@ -638,6 +638,49 @@ def test_words_by_arrow(monkeypatch):
         assert words.subwords(np.array([n]))[0].tolist() == (scoring.encoding(path)[0].encode_ordinary(" " + w) if w else [words.end])
 
 
+def test_words_that_come_again_stay(monkeypatch):
+    """Forgetting keeps the words that came again, which are encoded once, and changes no score; what is kept is bounded."""
+    path = scoring.default_tokenizer()
+    vocab, k = scoring.vocabulary(path), attention.CLASSES
+    model = scoring.start_of([], path)
+    model.begin, model.cont = scoring.refine(np.ones((k + 1, vocab + 1)), model.classes)
+    model.mass, model.left, model.hot = np.full(k, 50.0), np.full(k, 0.5), {"river": 9, "": 4, "w3": 2}
+    texts = [f"The river{'s' * (i % 3)} w{i} x{i} strawberryfields stone {'longer' * 30}" for i in range(60)]
+    encode, asked, most = scoring.encode_words, [], []
+    monkeypatch.setattr(scoring, "encode_words", lambda path, new: asked.append(new) or encode(path, new))
+
+    def scores() -> list:
+        asked.clear()
+        words, out = scoring.Words(path, model), []
+        for i in range(0, 60, 3):
+            n, known, base, s, others = scoring.score(model, words, scoring.pa.array(texts[i : i + 3]))
+            out.append((n.tolist(), known.tolist(), base.tolist(), s.tolist(), others.to_pylist()))
+            most.append(words.n)
+        return out
+
+    want = scores()
+    once = Counter(w for new in asked for w in new.to_pylist())
+    assert set(once.values()) == {1} and most[-1] == len(once) + 1 == 128
+    monkeypatch.setattr(scoring, "CACHE_WORDS", 30)
+    most.clear()
+    assert scores() == want and max(most) <= 30 + 13
+    again = Counter(w for new in asked for w in new.to_pylist())
+    assert again == once
+    monkeypatch.setattr(scoring, "CACHE_BYTES", 100)
+    most.clear()
+    assert scores() == want and max(most) <= 14
+
+
+def test_means_of_subwords():
+    """Means of words' rows, short words and long ones, against one word after another."""
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 2, 16, 17, 3, 400, 1, 18, 5])
+    ids, own, emb = rng.integers(0, 50, counts.sum()), np.cumsum(counts) - counts, rng.standard_normal((50, attention.DIM)).astype(np.float32)
+    want = np.stack([emb[ids[a : a + n]].astype(np.float64).mean(axis=0) for a, n in zip(own, counts)])
+    assert scoring.means(emb, ids, own, counts) == pytest.approx(want, abs=1e-5)
+    assert scoring.means(emb, ids[:0], own[:0], counts[:0]).shape == (0, attention.DIM)
+
+
 def test_ids_by_number(monkeypatch):
     """Ids found by words' numbers are those of whole texts, each new word is encoded once, and forgetting changes nothing."""
     path, asked = packing.default_tokenizer(), []
