@@ -132,7 +132,7 @@ class Words:
     def __init__(self, path: str, model: Model | None = None):
         self.path, self.end, self.model = path, vocabulary(path) - 1, model
         if model:
-            self.hot_words, self.hot_counts = pa.array(model.hot, pa.string()), np.fromiter([*model.hot.values(), 0], np.float64)
+            self.hot_words, self.hot_counts = pa.array(list(model.hot), pa.string()), np.fromiter([*model.hot.values(), 0], np.float64)
         self.reset()
 
     def __getitem__(self, word: str) -> int:
