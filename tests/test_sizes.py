@@ -1,9 +1,11 @@
 """Rows of a task: they stay as many when the input grows, whatever few bytes they take."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusmill.operators import dealing, matrix
+from locusmill.operators import dealing, em, matrix
 
 
 def rows(df):
@@ -38,3 +40,31 @@ def test_differences_count_copies(spark, monkeypatch):
     b = spark.createDataFrame([(1, None), (2, 5), (2, 5), (4, 1)], "rid long, raw long")
     got = {(r.rid, r.side): r["count"] for r in matrix.differences(a, b).groupBy("rid", "side").count().collect()}
     assert got == {(1, "left"): 5, (2, "right"): 1, (3, "left"): 1, (4, "right"): 1}
+
+
+def test_small_pools_are_fitted_together(monkeypatch):
+    """Two thousand pools of three rows take a few passes of numpy, not some for each pool."""
+    made = []
+    init = em.Csr.__post_init__
+    monkeypatch.setattr(em.Csr, "__post_init__", lambda self: (made.append(1), init(self))[1])
+    names = [f"p{i // 3:05}" for i in range(6000)]
+    rows = pa.table({"pool": names, "fids": [[i % 4, 4 + i % 3] for i in range(6000)], "raws": [[5 + i % 9, 8] for i in range(6000)], "many": [1] * 6000})
+    batches = rows.to_batches(max_chunksize=1000)
+    got = pa.Table.from_batches(list(em.fit_each(em.Options(9))(iter(batches))))
+    assert got.num_rows == 2000 * 9 and len(set(got["pool"].to_pylist())) == 2000
+    assert len(made) < 20
+
+
+@pytest.mark.parametrize("options", [{}, {"use_likelihood": True}, {"theta_prior": 0.0, "pi_prior": 0.5}, {"theta_prior": 0.0, "max_iter": 0}, {"theta_prior": 0.0, "epsilon": 1e-3}])
+def test_pools_end_each_by_itself(spark, monkeypatch, options):
+    """Pools of several sizes, fitted together in tables that end within a pool, are as fitted pass by pass."""
+    cells = [(f"p{p}", r, f, 10 + (r * f + p) % 7) for p in range(7) for r in range(2 + 5 * p) for f in {r % 5, (r * 3 + p) % 5}]
+    scores = spark.createDataFrame(cells, "pool string, rid long, fid long, raw long")
+    o = em.Options(6, **options)
+    want = em.fit(scores, o).orderBy("pool", "fid").collect()
+    monkeypatch.setattr(em, "FEW_POOLS", 1)
+    monkeypatch.setattr(em, "GIVEN", 13)
+    got = em.fit(scores, o).orderBy("pool", "fid").collect()
+    assert [(r.pool, r.fid, r.iterations) for r in got] == [(r.pool, r.fid, r.iterations) for r in want]
+    for c in ("pi_before", "theta_before", "pi", "theta", "lnl"):
+        np.testing.assert_allclose([r[c] for r in got], [r[c] for r in want], rtol=1e-9, atol=1e-12)
