@@ -151,3 +151,9 @@ def test_molecules_are_counted_by_size(alignments):
     want = {(r.bc, r.umi): (r.a, r.b) for r in comps.groupBy("bc", "umi").agg(F.count("rid").alias("a"), F.countDistinct("comp").alias("b")).collect()}
     assert {(r.bc, r.umi): (r.reads, r.components) for r in per.collect()} == want
     assert rows(umi.component_summary(comps)) == [(2, 300)]
+
+
+def test_groups_are_found_by_size(alignments):
+    comps = alignments.select((F.col("rid") % 300).alias("bc"), F.concat(F.lit("u"), F.col("rid") % 2).alias("umi"), "rid", (F.col("rid") % 600).alias("comp")).distinct()
+    got = umi.groups_like(comps, 3, 2)
+    assert got.count() == 200 and largest_share(got) < 0.2
