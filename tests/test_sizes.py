@@ -157,3 +157,12 @@ def test_groups_are_found_by_size(alignments):
     comps = alignments.select((F.col("rid") % 300).alias("bc"), F.concat(F.lit("u"), F.col("rid") % 2).alias("umi"), "rid", (F.col("rid") % 600).alias("comp")).distinct()
     got = umi.groups_like(comps, 3, 2)
     assert got.count() == 200 and largest_share(got) < 0.2
+
+
+def test_reads_per_molecule_are_dealt_by_size(alignments):
+    reads = alignments.select((F.col("rid") % 300).alias("bc"), F.concat(F.lit("u"), F.col("rid") % 2).alias("umi"), "rid")
+    per = umi.reads_per_umi(reads)
+    assert per.agg(F.sum("n")).first()[0] == 1000 and largest_share(per) < 0.2
+    comps = reads.distinct().withColumn("comp", F.col("rid") % 600)
+    r = umi.whole_summary(per, comps).first()
+    assert (r.num_umi, r.max_reads, r.excluded, r.max_components) == (300, 4, 400, 2)
