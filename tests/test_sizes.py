@@ -166,3 +166,20 @@ def test_reads_per_molecule_are_dealt_by_size(alignments):
     comps = reads.distinct().withColumn("comp", F.col("rid") % 600)
     r = umi.whole_summary(per, comps).first()
     assert (r.num_umi, r.max_reads, r.excluded, r.max_components) == (300, 4, 400, 2)
+
+
+def test_top_components_are_dealt_by_size(spark, alignments):
+    reads = alignments.select("rid", (F.col("rid") % 300).alias("bc"), F.concat(F.lit("u"), F.col("rid") % 2).alias("umi")).distinct()
+    scores = alignments.select("rid", "fid", (F.col("fid") % 3).alias("raw"))
+    top = matrix.top_scores(scores)
+    best = {}
+    for r, f, v in rows(scores):
+        best.setdefault((r, v), set()).add(f)
+    most = {}
+    for r, v in best:
+        most[r] = max(v, most.get(r, v))
+    want = {(r, f, v) for (r, v), fs in best.items() if v == most[r] for f in fs}
+    assert set(rows(top)) == want
+    comps = umi.components(reads, scores, best_score=True)
+    cells = [tuple(r) for r in top.join(reads, "rid").select("bc", "umi", "rid", "fid").collect()]
+    assert {r.rid: r.comp for r in comps.collect()} == by_hand(cells) and largest_share(comps) < 0.2
